@@ -1,0 +1,3 @@
+"""Registered queries."""
+
+from talentflow.plans.catalog import query  # noqa: F401
