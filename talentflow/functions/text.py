@@ -42,7 +42,8 @@ def unescape_nfkc(s: pd.Series) -> pd.Series:
     """HTML entity unescape, then Unicode NFKC, then U+FFFD -> space."""
     out = s.copy()
     # rows that are pure ASCII and carry no '&' are unchanged by both steps
-    need = s.notna() & (s.str.contains("&", regex=False) | ~s.str.isascii().fillna(True))
+    need = s.notna() & (s.str.contains("&", regex=False)
+                        | s.str.contains(r"[^\x00-\x7f]", regex=True)).fillna(False)
     if need.any():
         out[need] = [unicodedata.normalize("NFKC", html.unescape(v)).replace("\ufffd", " ")
                      for v in s[need]]

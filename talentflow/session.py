@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Settings applied only where the running session/builder has no value yet.
 _DEFAULTS = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
