@@ -36,9 +36,14 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def rows_sharing_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """every row whose key occurs more than once (keep=False)."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("__n", F.count(F.lit(1)).over(w)).filter(F.col("__n") > 1).drop("__n")
+    """every row whose key occurs more than once (keep=False).
+
+    Key counts are a partially aggregated ``groupBy`` (a hot key collapses
+    map-side) joined back with a semi join, rather than a window that would
+    hold a hot key's rows in one task.
+    """
+    multi = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).drop("__n")
+    return df.join(multi, keys, "left_semi")
 
 
 def quality_report(tables: dict[str, DataFrame]) -> DataFrame:
