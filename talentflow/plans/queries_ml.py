@@ -1,3 +1,294 @@
-"""Registered queries."""
+"""Classifier bindings.
 
-from talentflow.plans.catalog import query  # noqa: F401
+SQL-checked: split / folds / weights / metrics / scaling on ``labels ⋈
+documents`` (the hash replaced by an integer formula DuckDB can evaluate).
+Rows-only: model training and scoring on the feature table built from the
+hybrid matches of ``documents`` against ``benchmark`` (M1), exactly the
+pipeline shape of the source (pairs + resume features + job features).
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
+
+from talentflow.functions import extract as X
+from talentflow.functions import text as TX
+from talentflow.operators import ml as ML
+from talentflow.operators import profile as PR
+from talentflow.plans import presets as P
+from talentflow.plans.catalog import query
+from talentflow.session import checkpoint_dir, cut_lineage
+from talentflow.sources import io
+
+LABEL_SQL = """CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'Highly Suitable'
+                    WHEN l.quality = 1 THEN 'Suitable' ELSE 'Not Suitable' END"""
+PRED_SQL = """CASE WHEN d.n_chars > 5000 THEN 'Highly Suitable'
+                   WHEN d.n_chars > 1000 THEN 'Suitable' ELSE 'Not Suitable' END"""
+LD_SQL = f"""ld AS (SELECT l.doc_id, d.source, d.n_chars, {LABEL_SQL} AS suitability, {PRED_SQL} AS predicted
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+
+
+def _ld(spark, d):
+    lab = io.read_table(spark, d, "labels")
+    docs = io.read_table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    y = (F.when((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit("Highly Suitable"))
+          .when(F.col("quality") == 1, F.lit("Suitable")).otherwise(F.lit("Not Suitable")))
+    yhat = (F.when(F.col("n_chars") > 5000, F.lit("Highly Suitable"))
+             .when(F.col("n_chars") > 1000, F.lit("Suitable")).otherwise(F.lit("Not Suitable")))
+    return lab.join(docs, "doc_id").select("doc_id", "source", "n_chars", y.alias("suitability"),
+                                           yhat.alias("predicted"))
+
+
+def int_hash(c):
+    """Integer stand-in for the group hash that DuckDB can evaluate too."""
+    return F.pmod(c * 7919 + 13, F.lit(1000003))
+
+
+@query("group_split", f"""WITH {LD_SQL},
+g AS (SELECT doc_id, (doc_id * 7919 + 13) % 1000003 AS h FROM (SELECT DISTINCT doc_id FROM ld) x),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS rk, count(*) OVER () AS n FROM g)
+SELECT ld.doc_id, ld.suitability, r.rk <= ceil(r.n * 0.2) AS is_test FROM ld JOIN r ON ld.doc_id = r.doc_id""")
+def group_split(spark, d):
+    ld = _ld(spark, d)
+    out = ML.group_split(ld, "doc_id", P.TEST_SHARE, h=int_hash(F.col("doc_id")), shift=8)
+    return out.select("doc_id", "suitability", "is_test")
+
+
+@query("stratified_folds", f"""WITH {LD_SQL},
+lab AS (SELECT source, suitability, count(*) AS n FROM ld GROUP BY 1, 2),
+dom AS (SELECT source, suitability AS dom FROM (SELECT *, row_number() OVER (PARTITION BY source
+          ORDER BY n DESC, suitability) AS r FROM lab) x WHERE r = 1),
+rk AS (SELECT source, dom, row_number() OVER (PARTITION BY dom ORDER BY
+          (CAST(substr(source, 4) AS BIGINT) * 7919 + 13) % 1000003, source) AS k FROM dom)
+SELECT ld.doc_id, ld.source, CAST((rk.k - 1) % 4 AS INTEGER) AS fold FROM ld JOIN rk ON ld.source = rk.source""")
+def stratified_folds(spark, d):
+    ld = _ld(spark, d)
+    h = int_hash(F.substring("source", 4, 100).cast("long"))
+    out = ML.stratified_group_folds(ld, "source", "suitability", 4, h=h, shift=8)
+    return out.select("doc_id", "source", "fold")
+
+
+@query("class_weights", f"""WITH {LD_SQL},
+c AS (SELECT suitability, count(*) AS c FROM ld GROUP BY 1)
+SELECT ld.doc_id, ld.suitability,
+  round((SELECT sum(c) FROM c)::DOUBLE / ((SELECT count(*) FROM c) * c.c), 6) AS weight
+FROM ld JOIN c ON ld.suitability = c.suitability""")
+def class_weights(spark, d):
+    w = ML.class_weights(_ld(spark, d), "suitability")
+    return w.select("doc_id", "suitability", F.round("weight", 6).alias("weight"))
+
+
+METRICS_SQL = f"""WITH {LD_SQL},
+cm AS (SELECT suitability AS y, predicted AS p, count(*) AS n FROM ld GROUP BY 1, 2),
+cls AS (SELECT y AS c FROM cm UNION SELECT p FROM cm),
+per AS (SELECT c,
+  coalesce((SELECT sum(n) FROM cm WHERE y = c AND p = c), 0) AS tp,
+  coalesce((SELECT sum(n) FROM cm WHERE p = c), 0) AS pp,
+  coalesce((SELECT sum(n) FROM cm WHERE y = c), 0) AS ap FROM cls),
+per2 AS (SELECT c, tp, pp, ap,
+  CASE WHEN pp > 0 THEN tp::DOUBLE / pp ELSE 0.0 END AS pr,
+  CASE WHEN ap > 0 THEN tp::DOUBLE / ap ELSE 0.0 END AS rc FROM per),
+per3 AS (SELECT *, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END AS f1 FROM per2)"""
+
+
+@query("macro_metrics", METRICS_SQL + """
+SELECT round(sum(tp)::DOUBLE / sum(ap), 4) AS accuracy, round(avg(pr), 4) AS precision_macro,
+  round(avg(rc), 4) AS recall_macro, round(avg(f1), 4) AS f1_macro FROM per3""")
+def macro_metrics(spark, d):
+    return ML.macro_metrics(_ld(spark, d), "suitability", "predicted")
+
+
+@query("class_report", METRICS_SQL + """
+SELECT c AS class, round(pr, 4) AS precision, round(rc, 4) AS recall, round(f1, 4) AS f1, ap AS support
+FROM per3""")
+def class_report(spark, d):
+    return ML.per_class_report(_ld(spark, d), "suitability", "predicted")
+
+
+@query("confusion", f"""WITH {LD_SQL}
+SELECT suitability, count(*) FILTER (WHERE predicted = 'Not Suitable') AS "Not Suitable",
+  count(*) FILTER (WHERE predicted = 'Suitable') AS "Suitable",
+  count(*) FILTER (WHERE predicted = 'Highly Suitable') AS "Highly Suitable"
+FROM ld GROUP BY suitability""")
+def confusion(spark, d):
+    return ML.confusion(_ld(spark, d), "suitability", "predicted")
+
+
+@query("label_distribution", f"""WITH {LD_SQL}
+SELECT suitability, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 1)::DOUBLE AS pct
+FROM ld GROUP BY suitability""")
+def label_distribution(spark, d):
+    """Label counts and shares (feature missingness is ``null_profile``)."""
+    from pyspark.sql import Window
+    c = _ld(spark, d).groupBy("suitability").agg(F.count(F.lit(1)).alias("n"))
+    return c.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 1))
+
+
+@query("scale_features", """SELECT doc_id,
+  round((n_chars - avg(n_chars) OVER ()) / stddev_samp(n_chars) OVER (), 6) AS z_n_chars,
+  round((wc - avg(wc) OVER ()) / stddev_samp(wc) OVER (), 6) AS z_words
+FROM (SELECT doc_id, n_chars, len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS wc FROM documents) x""")
+def scale_features(spark, d):
+    docs = io.read_table(spark, d, "documents").select(
+        "doc_id", F.col("n_chars").cast("double").alias("n_chars"),
+        TX.word_count("text", unicode=False).cast("double").alias("words"))
+    z = ML.scale(docs, ["n_chars", "words"])
+    return z.select("doc_id", F.round("z_n_chars", 6).alias("z_n_chars"), F.round("z_words", 6).alias("z_words"))
+
+
+# ------------------------------------------------------------- model training (rows only)
+
+def feature_table(spark, d):
+    """M1: hybrid-match pairs + resume-side and job-side features (no leak columns)."""
+    from talentflow.plans.queries_match import WORD_PATTERNS, _hybrid
+    pairs = _hybrid(spark, d).select("doc_id", "item_id", "matching_skills", "missing_skills", "suitability")
+    docs = io.read_table(spark, d, "documents").select("doc_id", F.col("text").alias("resume_text"))
+    res = docs.select(
+        "doc_id",
+        F.size(X.dict_extract("resume_text", WORD_PATTERNS, unicode=False)).alias("skill_count"),
+        X.max_number("resume_text", r"(\d{1,2})").alias("years_experience"),
+        X.level_cascade("resume_text").alias("education_level"),
+        TX.word_count("resume_text").alias("resume_word_count"), "resume_text")
+    res = (res.withColumn("__edu", F.when(F.col("education_level") > 0, F.lit(1)))
+              .withColumn("resume_completeness_score", PR.resume_completeness(
+                  "skill_count", "__edu", "resume_word_count", "years_experience")).drop("__edu"))
+    bench = io.read_table(spark, d, "benchmark").select("item_id", F.col("text").alias("job_text"))
+    job = bench.select("item_id",
+                       F.size(X.dict_extract("job_text", WORD_PATTERNS, unicode=False)).alias("required_skill_count"),
+                       TX.word_count("job_text").alias("description_word_count"), "job_text")
+    df = pairs.join(res, "doc_id", "left").join(job, "item_id", "left")
+    df = (df.withColumn("n_matching_skills", X.safe_size("matching_skills"))
+            .withColumn("n_missing_skills", X.safe_size("missing_skills"))
+            .withColumn("combined_text", TX.concat_text("resume_text", "job_text")))
+    from talentflow.functions.coerce import median_impute, zero_fill
+    df = median_impute(df, "years_experience", known_flag="has_experience_info")
+    df = zero_fill(df.withColumns({c: F.col(c).cast("double") for c in P.NUM_FEATURES}), P.NUM_FEATURES)
+    return df.drop("resume_text", "job_text", "matching_skills", "missing_skills")
+
+
+def _split(spark, d):
+    # iterative fits re-read their input many times: materialise the feature
+    # table once in the shared checkpoint folder (survives executor loss)
+    ft = cut_lineage(feature_table(spark, d))
+    sp = ML.group_split(ft, "doc_id")
+    sp = ML.class_weights(sp, "suitability").withColumn("label_idx", ML.label_index_col("suitability"))
+    return sp.filter(~F.col("is_test")), sp.filter(F.col("is_test"))
+
+
+def _train(name):
+    def run(spark, d):
+        train, test = _split(spark, d)
+        _, _, te = ML.fit_and_score(train, test, P.NUM_FEATURES, name)
+        return te.select("doc_id", "item_id", "suitability", "predicted")
+    run.__doc__ = f"M7-M11: {name} on the M1 features, grouped split; test predictions (rows only)."
+    return run
+
+
+for _name, _key in [("train_lr", "logistic_regression"), ("train_svm", "linear_svm"),
+                    ("train_rf", "random_forest"), ("train_gbt", "gbt"), ("train_mlp", "mlp")]:
+    query(_name)(_train(_key))
+
+
+@query("train_embeddings")
+def train_embeddings(spark, d):
+    """Classifier on concatenated pre-computed embeddings of pair members.
+
+    Pairs (vec_id, next vec_id) take the left vector's label (mod 3) as class.
+    """
+    emb = io.read_table(spark, d, "embeddings")
+    pairs = emb.select(F.col("vec_id").alias("left_id"), (F.col("vec_id") + 1).alias("right_id"),
+                       F.element_at(F.array(*[F.lit(x) for x in P.LABELS]),
+                                    F.pmod("label", F.lit(3)) + 1).alias("suitability"))
+    feats = ML.embedding_features(pairs, emb, "left_id", "right_id", "vec_id", "embedding")
+    feats = ML.class_weights(feats, "suitability").withColumn("label_idx", ML.label_index_col("suitability"))
+    sp = ML.group_split(feats, "left_id")
+    tr, te = sp.filter(~F.col("is_test")), sp.filter(F.col("is_test"))
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    lr = LogisticRegression(featuresCol="emb_vec", labelCol="label_idx", weightCol="weight",
+                            family="multinomial", regParam=0.01, maxIter=100)
+    model = Pipeline(stages=[lr]).fit(tr)
+    return model.transform(te).select("left_id", "suitability",
+                                      ML.index_to_label("prediction").alias("predicted"))
+
+
+@query("model_comparison")
+def model_comparison(spark, d):
+    """M16 + M19: train/test metrics of every model, best macro-F1 first."""
+    train, test = _split(spark, d)
+    rows = None
+    for key in ["logistic_regression", "linear_svm", "random_forest", "mlp"]:
+        _, trp, tep = ML.fit_and_score(train, test, P.NUM_FEATURES, key)
+        m = ML.macro_metrics(tep, "suitability", "predicted")
+        trf = ML.macro_metrics(trp, "suitability", "predicted").select(F.col("f1_macro").alias("train_f1"))
+        r = m.withColumn("model", F.lit(key)).unionByName(
+            trf.withColumn("model", F.lit(key)), allowMissingColumns=True) \
+             .groupBy("model").agg(*[F.max(c).alias(c) for c in
+                                     ["accuracy", "precision_macro", "recall_macro", "f1_macro", "train_f1"]])
+        rows = r if rows is None else rows.unionByName(r)
+    return rows.withColumn("gap_f1", F.round(F.col("train_f1") - F.col("f1_macro"), 4)) \
+               .orderBy(F.desc("f1_macro"), F.asc("model"))
+
+
+@query("importances")
+def importances(spark, d):
+    """Random-forest importances of the engineered features."""
+    train, test = _split(spark, d)
+    model, _, _ = ML.fit_and_score(train, test, P.NUM_FEATURES, "random_forest")
+    pairs = ML.feature_importances(model, P.NUM_FEATURES)
+    return spark.createDataFrame([(n, float(v)) for n, v in pairs], "feature string, importance double")
+
+
+@query("learning_curve")
+def learning_curve(spark, d):
+    """Test macro-F1 of logistic regression at 5 train-group fractions."""
+    train, test = _split(spark, d)
+    ranked = ML.rank_in_hash_order(train.select("doc_id").distinct(), "doc_id", ML.group_hash("doc_id", 7))
+    out = None
+    for frac in (0.2, 0.4, 0.6, 0.8, 1.0):
+        keep = ranked.filter(F.col("hash_rank") <= F.ceil(F.col("n_in_part") * frac)).select("doc_id")
+        tr = train.join(keep, "doc_id", "left_semi")
+        _, _, te = ML.fit_and_score(tr, test, P.NUM_FEATURES, "logistic_regression")
+        m = ML.macro_metrics(te, "suitability", "predicted").withColumn("train_fraction", F.lit(frac))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("batch_score")
+def batch_score(spark, d):
+    """M20 + M21: persist the fitted pipeline to the shared checkpoint folder,
+    reload it, and score (resume text, job text) pairs with the upload rules
+    (100-pattern skills, first 'N years', education cascade, completeness 0.8)."""
+    train, test = _split(spark, d)
+    model, _, _ = ML.fit_and_score(train, test, P.NUM_FEATURES, "logistic_regression")
+    path = os.path.join(checkpoint_dir(spark), "models", "suitability_lr")
+    model.write().overwrite().save(path)
+    model = PipelineModel.load(path)
+    from talentflow.plans.queries_match import _hybrid
+    pairs = _hybrid(spark, d).filter(F.col("rank") == 1).select("doc_id", "item_id")
+    docs = io.read_table(spark, d, "documents").select("doc_id", F.col("text").alias("resume_text"))
+    bench = io.read_table(spark, d, "benchmark").select("item_id", F.col("text").alias("jd_text"))
+    pats = P.all_upload_skill_patterns()
+    x = pairs.join(docs, "doc_id").join(bench, "item_id")
+    x = (x.withColumn("rs", X.dict_extract("resume_text", pats))
+          .withColumn("js", X.dict_extract("jd_text", pats)))
+    years, known = X.first_number("resume_text")
+    feats = x.select(
+        "doc_id", "item_id", X.set_intersect("rs", "js").alias("matching_skills"),
+        X.set_minus("js", "rs").alias("missing_skills"),
+        F.size(X.set_intersect("rs", "js")).cast("double").alias("n_matching_skills"),
+        F.size(X.set_minus("js", "rs")).cast("double").alias("n_missing_skills"),
+        F.size("rs").cast("double").alias("skill_count"), years.alias("years_experience"),
+        known.cast("double").alias("has_experience_info"),
+        X.level_cascade("resume_text").cast("double").alias("education_level"),
+        TX.word_count("resume_text").cast("double").alias("resume_word_count"),
+        F.lit(P.UPLOAD_COMPLETENESS).alias("resume_completeness_score"),
+        F.size("js").cast("double").alias("required_skill_count"),
+        TX.word_count("jd_text").cast("double").alias("description_word_count"))
+    scored = model.transform(feats)
+    return scored.select("doc_id", "item_id", ML.index_to_label("prediction").alias("suitability"),
+                         ML.match_probability_score().alias("match_score"),
+                         "matching_skills", "missing_skills")
