@@ -152,7 +152,8 @@ def classifiers(n_features: int, n_classes: int = 3, seed: int = P.SEED, fast: b
                                                   regParam=0.01, standardization=False, maxIter=100),
         "linear_svm": OneVsRest(classifier=LinearSVC(featuresCol="features", labelCol="label_idx",
                                                      weightCol="weight", regParam=0.01, maxIter=50),
-                                featuresCol="features", labelCol="label_idx", weightCol="weight"),
+                                featuresCol="features", labelCol="label_idx", weightCol="weight",
+                                parallelism=3),
         "random_forest": RandomForestClassifier(featuresCol="features", labelCol="label_idx",
                                                 weightCol="weight", numTrees=trees, maxDepth=10,
                                                 minInstancesPerNode=5, featureSubsetStrategy="sqrt",
@@ -160,7 +161,8 @@ def classifiers(n_features: int, n_classes: int = 3, seed: int = P.SEED, fast: b
         "gbt": OneVsRest(classifier=GBTClassifier(featuresCol="features", labelCol="label_idx",
                                                   weightCol="weight", maxIter=rounds, maxDepth=4,
                                                   stepSize=0.07, subsamplingRate=0.8, seed=seed),
-                         featuresCol="features", labelCol="label_idx", weightCol="weight"),
+                         featuresCol="features", labelCol="label_idx", weightCol="weight",
+                         parallelism=3),
         "mlp": MultilayerPerceptronClassifier(featuresCol="features", labelCol="label_idx",
                                               layers=[n_features, 128, 64, n_classes], seed=seed,
                                               maxIter=50 if fast else 200),
