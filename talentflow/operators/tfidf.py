@@ -44,10 +44,19 @@ def with_ngrams(tokens: str, ngram_max: int = 2) -> Column:
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, ngram_max: int = 2,
-                unicode: bool = True, stop_words=None, keep: list[str] | None = None) -> DataFrame:
-    """L1: ``(id, [keep...], term, tf)`` for every document with text."""
+                unicode: bool = True, stop_words=None, keep: list[str] | None = None,
+                colocate: bool = True) -> DataFrame:
+    """L1: ``(id, [keep...], term, tf)`` for every document with text.
+
+    ``colocate``: hash-partition the raw rows by ``id`` first (one shuffle of
+    the compact text instead of the exploded terms). Every later per-document
+    step -- term counts, the L2-norm window, the pair aggregation and the
+    top-k window of the similarity join -- is then satisfied by this
+    partitioning and needs no further exchange.
+    """
     keep = keep or []
-    toks = df.select(id_col, *keep, token_array(text_col, unicode, stop_words).alias("__tok"))
+    src = df.repartition(id_col) if colocate else df
+    toks = src.select(id_col, *keep, token_array(text_col, unicode, stop_words).alias("__tok"))
     terms = toks.select(id_col, *keep, F.explode(with_ngrams("__tok", ngram_max)).alias("term"))
     return terms.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
