@@ -27,11 +27,119 @@ def ascii_word_pattern(word: str) -> str:
     return f"(^|[^A-Za-z0-9_])(?:{word})([^A-Za-z0-9_]|$)"
 
 
+def _split_top(p: str) -> list[str]:
+    """Top-level alternatives of a regex (``|`` outside groups / classes)."""
+    out, depth, cls, cur, i = [], 0, False, "", 0
+    while i < len(p):
+        ch = p[i]
+        if ch == "\\" and i + 1 < len(p):
+            cur += p[i:i + 2]
+            i += 2
+            continue
+        if cls:
+            cls = ch != "]"
+        elif ch == "[":
+            cls = True
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            out.append(cur)
+            cur = ""
+            i += 1
+            continue
+        cur += ch
+        i += 1
+    return out + [cur]
+
+
+def _longest_literal(alt: str) -> str:
+    """Longest run of plain characters every match of ``alt`` must contain."""
+    runs, cur, i = [], [], 0
+    while i < len(alt):
+        ch = alt[i]
+        if ch == "\\" and i + 1 < len(alt):
+            nxt = alt[i + 1]
+            if nxt.isalnum():           # \b \s \d \w ...: not a literal
+                runs.append(cur)
+                cur = []
+            else:
+                cur.append(nxt)
+            i += 2
+        elif ch in "([":
+            runs.append(cur)
+            cur = []
+            depth, j = 0, i
+            close = ")" if ch == "(" else "]"
+            while j < len(alt):          # skip the whole group / class
+                if alt[j] == "\\":
+                    j += 2
+                    continue
+                if alt[j] == ch:
+                    depth += 1
+                elif alt[j] == close:
+                    depth -= 1
+                    if depth == 0:
+                        break
+                j += 1
+            i = j + 1
+            if i < len(alt) and alt[i] in "?*+{":
+                i += 1
+        elif ch in "?*{":
+            if cur:
+                cur.pop()               # the quantified char is optional
+            runs.append(cur)
+            cur = []
+            if ch == "{":
+                while i < len(alt) and alt[i] != "}":
+                    i += 1
+            i += 1
+        elif ch == "+":
+            runs.append(cur)            # one copy is required, keep it
+            cur = []
+            i += 1
+        elif ch in "^$.":
+            runs.append(cur)
+            cur = []
+            i += 1
+        else:
+            cur.append(ch)
+            i += 1
+    runs.append(cur)
+    best = max(("".join(r) for r in runs), key=len)
+    return best
+
+
+def required_literals(pattern: str) -> list[str] | None:
+    """One literal per top-level alternative that any match must contain, or
+    None when some alternative has none (then no pre-filter is used)."""
+    lits = [_longest_literal(a).lower() for a in _split_top(pattern)]
+    return lits if all(lits) else None
+
+
 def dict_extract(c: str | Column, patterns: dict[str, str], ignore_case: bool = True,
-                 unicode: bool = True, sort: bool = True) -> Column:
-    """Every name whose pattern is found in the text (sorted; NULL -> [])."""
+                 unicode: bool = True, sort: bool = True, prefilter: bool = True) -> Column:
+    """Every name whose pattern is found in the text (sorted; NULL -> []).
+
+    ``prefilter``: each regex is guarded by a cheap ``contains`` of the
+    literal(s) its matches must include (on the lower-cased text), so the
+    regex engine only runs on rows that can match.
+    """
     t = _c(c)
-    hits = [F.when(t.rlike(_rx(p, ignore_case, unicode)), F.lit(name))
+    low = F.lower(t)
+
+    def guard(p):
+        lits = required_literals(p) if prefilter else None
+        if not lits:
+            return F.lit(True)
+        g = None
+        for lit in lits:
+            x = low.contains(lit)
+            g = x if g is None else (g | x)
+        return g
+
+    hits = [F.when(guard(p) & t.rlike(_rx(p, ignore_case, unicode)), F.lit(name))
             for name, p in patterns.items()]
     arr = F.array_compact(F.array(*hits))
     arr = F.coalesce(arr, F.array().cast("array<string>"))
