@@ -300,3 +300,23 @@ FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) x GROUP BY w""")
 def skill_frequency(spark, d):
     p = io.read_table(spark, d, "part").select(F.split("p_name", " ").alias("words"))
     return X.item_frequency(p, "words")
+
+
+# ------------------------------------------------------------------ pipelines
+
+@query("resume_master")
+def resume_master(spark, d):
+    """Resume pipeline (C1, C3, C6, C7, D1, D3-D5, J1, K2, K3, K5) on documents with the
+    production presets (Unicode classes, 73-pattern dictionary; rows only)."""
+    from talentflow.plans.pipelines import resume_pipeline
+    raw = io.read_table(spark, d, "documents")
+    kept, _, _ = resume_pipeline(raw, "doc_id", "text", "source")
+    return kept.drop("resume_clean")
+
+
+@query("resume_audit")
+def resume_audit(spark, d):
+    """Resume pipeline audit counts (F17) on documents (rows only)."""
+    from talentflow.plans.pipelines import resume_pipeline
+    _, _, audit = resume_pipeline(io.read_table(spark, d, "documents"), "doc_id", "text", "source")
+    return audit
