@@ -218,3 +218,49 @@ def match_probability_score(prob: str = "probability", weights=P.UPLOAD_SCORE_WE
     arr = vector_to_array(F.col(prob))
     terms = [arr[i] * w for i, w in enumerate(weights)]
     return F.round(reduce(lambda a, b: a + b, terms) * 100.0, 1)
+
+
+def svd_text_features(train: DataFrame, test: DataFrame, id_col: str, text_col: str,
+                      k: int = P.SVD_COMPONENTS, max_features: int = P.CLASSIFIER_MAX_FEATURES,
+                      unicode: bool = True):
+    """M3: TF-IDF fitted on ``train`` only -> truncated SVD (k components) ->
+    ``(id, svd)`` vectors for both splits (X · V, i.e. U·Σ on train).
+
+    The document-term rows become sparse vectors of an ``IndexedRowMatrix``
+    (ids kept); ``computeSVD`` runs distributed (Gramian-vector products), and
+    the projection is the JVM-side ``multiply`` by the local V, whose size is
+    bounded by ``max_features x k``. The id column must be a long.
+    """
+    from pyspark.mllib.linalg import Vectors as MV
+    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+    from talentflow.operators import tfidf
+
+    spark = train.sparkSession
+    tf_tr = tfidf.term_counts(train, id_col, text_col, 2, unicode)
+    vocab = tfidf.fit_vocabulary(tf_tr, id_col, train.count(), P.TFIDF_MIN_DF, P.TFIDF_MAX_DF,
+                                 max_features)
+    # term index over the bounded vocabulary (at most max_features rows)
+    vidx = vocab.select("term", "idf", (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"))
+    vidx = vidx.checkpoint(eager=True)
+    n_terms = vidx.count()
+    kk = max(1, min(k, n_terms - 1))
+
+    def rows(tf):
+        w = tfidf.weigh(tf, vidx, id_col)
+        g = (w.join(F.broadcast(vidx.select("term", "idx")), "term")
+              .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("e")))
+        vec = g.rdd.map(lambda r: (int(r[0]), MV.sparse(
+            n_terms, [int(x[0]) for x in r[1]], [float(x[1]) for x in r[1]]))).toDF(["index", "vector"])
+        # materialised once in the shared folder: the SVD iterations re-read it on the JVM side
+        return vec.checkpoint(eager=True)
+
+    svd = IndexedRowMatrix(rows(tf_tr)).computeSVD(kk, computeU=False)
+    V = svd.V
+
+    def project(tf):
+        proj = IndexedRowMatrix(rows(tf)).multiply(V).rows
+        return spark.createDataFrame(proj.map(lambda r: (int(r.index), r.vector.toArray().tolist())),
+                                     f"{id_col} long, svd array<double>")
+
+    tf_te = tfidf.term_counts(test, id_col, text_col, 2, unicode)
+    return project(tf_tr).checkpoint(eager=True), project(tf_te).checkpoint(eager=True), kk

@@ -292,3 +292,21 @@ def batch_score(spark, d):
     return scored.select("doc_id", "item_id", ML.index_to_label("prediction").alias("suitability"),
                          ML.match_probability_score().alias("match_score"),
                          "matching_skills", "missing_skills")
+
+
+def _svd_split(spark, d):
+    train, test = _split(spark, d)
+    # stable long row ids on the checkpointed feature table
+    train = train.withColumn("pair_id", F.col("doc_id") * 1000003 + F.col("item_id"))
+    test = test.withColumn("pair_id", F.col("doc_id") * 1000003 + F.col("item_id"))
+    s_tr, s_te, k = ML.svd_text_features(train.select("pair_id", "combined_text"),
+                                         test.select("pair_id", "combined_text"),
+                                         "pair_id", "combined_text", unicode=False)
+    return train.join(s_tr, "pair_id", "left"), test.join(s_te, "pair_id", "left"), k
+
+
+@query("svd_features")
+def svd_features(spark, d):
+    """M3: TF-IDF (fit on train) -> truncated SVD components of the combined pair text."""
+    tr, te, _ = _svd_split(spark, d)
+    return tr.select("doc_id", "item_id", "svd").unionByName(te.select("doc_id", "item_id", "svd"))
