@@ -106,6 +106,9 @@ def hybrid_match(left_text: DataFrame, right_text: DataFrame, left_id: str, righ
                                        (right_text, right_id, right_txt)],
                                       unicode=unicode, **tfidf_kw)
     pairs = cosine_topk(lw, rw, left_id, right_id, k).drop("text_rank")
+    # used twice (matched-job filter and scoring): written once (n_left x k rows)
+    from talentflow.session import cut_lineage
+    pairs = cut_lineage(pairs)
     matched = right_text.join(pairs.select(right_id).distinct(), right_id, "left_semi")
     job_sk = matched.select(right_id, X.dict_extract(right_txt, skill_patterns, unicode=unicode)
                             .alias("job_skill_set"))

@@ -99,13 +99,15 @@ def weigh(tf: DataFrame, vocab: DataFrame, id_col: str, sublinear: bool = True,
 def fit_transform(corpus_parts: list[tuple[DataFrame, str, str]], ngram_max: int = 2,
                   min_df=P.TFIDF_MIN_DF, max_df=P.TFIDF_MAX_DF,
                   max_features=P.TFIDF_MAX_FEATURES, sublinear: bool = True,
-                  unicode: bool = True, stop_words=None):
+                  unicode: bool = True, stop_words=None, materialize: bool = True):
     """L4: fit one vocabulary on the union of several text sets, weigh each set.
 
     ``corpus_parts`` is ``[(df, id_col, text_col), ...]``; returns
-    ``(vocab, [weights per part])``. Each part's term counts are reused for the
-    fit and the transform (cached once).
+    ``(vocab, [weights per part])``. Fitting is eager (like an MLlib
+    estimator): the vocabulary is checkpointed into the shared folder.
     """
+    from talentflow.session import checkpoint_dir
+    checkpoint_dir(corpus_parts[0][0].sparkSession)
     tfs, n_docs = [], 0
     for df, idc, txt in corpus_parts:
         tfs.append(term_counts(df, idc, txt, ngram_max, unicode, stop_words))
@@ -115,6 +117,9 @@ def fit_transform(corpus_parts: list[tuple[DataFrame, str, str]], ngram_max: int
         part = tfp.select(F.col(idc).cast("string").alias("__doc"), "term", "tf")
         union = part if union is None else union.unionByName(part)
     vocab = fit_vocabulary(union, "__doc", n_docs, min_df, max_df, max_features)
+    # the fitted model: materialised once (bounded by max_features rows) so every
+    # transform reads it instead of re-deriving it from the corpus
+    vocab = vocab.checkpoint(eager=True) if materialize else vocab
     weights = [weigh(tfp, vocab, idc, sublinear, bounded_vocab=bool(max_features))
                for tfp, (_, idc, _) in zip(tfs, corpus_parts)]
     return vocab, weights
