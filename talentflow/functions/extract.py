@@ -7,6 +7,8 @@ in whole-stage codegen; no Python runs per row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,20 @@ def ascii_word_pattern(word: str) -> str:
     return f"(^|[^A-Za-z0-9_])(?:{word})([^A-Za-z0-9_]|$)"
 
 
+_ASCII_WORD = re.compile(r"^\(\^\|\[\^A-Za-z0-9_\]\)\(\?:([A-Za-z0-9 ]+)\)\(\[\^A-Za-z0-9_\]\|\$\)$")
+
+
+def _java_fast(pattern: str) -> str:
+    """Same matches, faster in Java: a whole-word pattern of ``ascii_word_pattern``
+    becomes literal-first with look-arounds (RE2 has no look-arounds, so the
+    SQL twin keeps the original form)."""
+    m = _ASCII_WORD.match(pattern)
+    if not m:
+        return pattern
+    w = m.group(1)
+    return f"{w}(?<![A-Za-z0-9_]{w})(?![A-Za-z0-9_])"
+
+
 def _split_top(p: str) -> list[str]:
     """Top-level alternatives of a regex (``|`` outside groups / classes)."""
     out, depth, cls, cur, i = [], 0, False, "", 0
@@ -130,7 +146,7 @@ def dict_extract(c: str | Column, patterns: dict[str, str], ignore_case: bool =
     low = F.lower(t)
 
     def guard(p):
-        lits = required_literals(p) if prefilter else None
+        lits = required_literals(_java_fast(p)) if prefilter else None
         if not lits:
             return F.lit(True)
         g = None
@@ -139,7 +155,7 @@ def dict_extract(c: str | Column, patterns: dict[str, str], ignore_case: bool =
             g = x if g is None else (g | x)
         return g
 
-    hits = [F.when(guard(p) & t.rlike(_rx(p, ignore_case, unicode)), F.lit(name))
+    hits = [F.when(guard(p) & t.rlike(_rx(_java_fast(p), ignore_case, unicode)), F.lit(name))
             for name, p in patterns.items()]
     arr = F.array_compact(F.array(*hits))
     arr = F.coalesce(arr, F.array().cast("array<string>"))
