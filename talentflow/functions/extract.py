@@ -32,15 +32,28 @@ def ascii_word_pattern(word: str) -> str:
 _ASCII_WORD = re.compile(r"^\(\^\|\[\^A-Za-z0-9_\]\)\(\?:([A-Za-z0-9 ]+)\)\(\[\^A-Za-z0-9_\]\|\$\)$")
 
 
-def _java_fast(pattern: str) -> str:
-    """Same matches, faster in Java: a whole-word pattern of ``ascii_word_pattern``
-    becomes literal-first with look-arounds (RE2 has no look-arounds, so the
-    SQL twin keeps the original form)."""
+_WB_LITERAL = re.compile(r"^\\b([A-Za-z0-9][A-Za-z0-9 ]*)\\b$")
+
+
+def _java_fast(pattern: str, unicode: bool = False) -> str:
+    """Same matches, faster in Java: whole-word alternatives become
+    literal-first with look-arounds, so the engine can skip ahead on the
+    literal instead of testing a boundary at every position. A pattern of
+    ``ascii_word_pattern`` is rewritten with ASCII classes; with ``unicode``
+    (``(?U)``, where ``\\b`` and ``\\w`` agree) every ``\\bliteral\\b``
+    alternative is rewritten. RE2 has no look-arounds, so SQL twins keep the
+    original form."""
     m = _ASCII_WORD.match(pattern)
-    if not m:
+    if m:
+        w = m.group(1)
+        return f"{w}(?<![A-Za-z0-9_]{w})(?![A-Za-z0-9_])"
+    if not unicode:
         return pattern
-    w = m.group(1)
-    return f"{w}(?<![A-Za-z0-9_]{w})(?![A-Za-z0-9_])"
+    alts = []
+    for a in _split_top(pattern):
+        m = _WB_LITERAL.match(a)
+        alts.append(f"{m.group(1)}(?<!\\w{m.group(1)})(?!\\w)" if m else a)
+    return "|".join(alts)
 
 
 def _split_top(p: str) -> list[str]:
@@ -135,7 +148,8 @@ def required_literals(pattern: str) -> list[str] | None:
 
 
 def dict_extract(c: str | Column, patterns: dict[str, str], ignore_case: bool = True,
-                 unicode: bool = True, sort: bool = True, prefilter: bool = True) -> Column:
+                 unicode: bool = True, sort: bool = True, prefilter: bool = True,
+                 rewrite: bool = True) -> Column:
     """Every name whose pattern is found in the text (sorted; NULL -> []).
 
     ``prefilter``: each regex is guarded by a cheap ``contains`` of the
@@ -145,8 +159,11 @@ def dict_extract(c: str | Column, patterns: dict[str, str], ignore_case: bool =
     t = _c(c)
     low = F.lower(t)
 
+    def fast(p):
+        return _java_fast(p, unicode) if rewrite else p
+
     def guard(p):
-        lits = required_literals(_java_fast(p)) if prefilter else None
+        lits = required_literals(fast(p)) if prefilter else None
         if not lits:
             return F.lit(True)
         g = None
@@ -155,7 +172,7 @@ def dict_extract(c: str | Column, patterns: dict[str, str], ignore_case: bool =
             g = x if g is None else (g | x)
         return g
 
-    hits = [F.when(guard(p) & t.rlike(_rx(_java_fast(p), ignore_case, unicode)), F.lit(name))
+    hits = [F.when(guard(p) & t.rlike(_rx(fast(p), ignore_case, unicode)), F.lit(name))
             for name, p in patterns.items()]
     arr = F.array_compact(F.array(*hits))
     arr = F.coalesce(arr, F.array().cast("array<string>"))
