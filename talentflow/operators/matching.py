@@ -18,11 +18,44 @@ from talentflow.functions import extract as X
 from talentflow.plans import presets as P
 
 
+def checked_small(df: DataFrame, max_rows: int | None) -> tuple[DataFrame, bool]:
+    """Write ``df`` once to the shared checkpoint folder and report whether it
+    has at most ``max_rows`` rows -- a proven bound for broadcasting it.
+
+    The count reads at most ``max_rows + 1`` rows of the written table, and
+    the written table (with its partitioning) is what the caller joins, so a
+    table that is too large costs one write, not a second computation.
+    """
+    if not max_rows:
+        return df, False
+    from talentflow.session import cut_lineage
+    df = cut_lineage(df)
+    return df, df.limit(max_rows + 1).count() <= max_rows
+
+
 def cosine_pairs(left_w: DataFrame, right_w: DataFrame, left_id: str, right_id: str,
-                 digits: int | None = 6) -> DataFrame:
-    """``(left_id, right_id, text_similarity)`` for pairs sharing a term."""
+                 digits: int | None = 6,
+                 broadcast_max_rows: int | None = P.BROADCAST_MAX_ROWS) -> DataFrame:
+    """``(left_id, right_id, text_similarity)`` for pairs sharing a term.
+
+    Join strategy: if one weight table is proven to hold at most
+    ``broadcast_max_rows`` rows (right side checked first, then left), it is
+    broadcast and the other side keeps its partitioning by document id, so
+    neither its exploded term rows nor the pair rows are shuffled: the pair
+    sum and the per-document top-k run in place. Otherwise both sides are
+    shuffled on ``term`` (AQE splits a hot term) and the pair sums are
+    partially aggregated before their shuffle.
+    """
+    right_w, r_small = checked_small(right_w, broadcast_max_rows)
+    l_small = False
+    if not r_small:
+        left_w, l_small = checked_small(left_w, broadcast_max_rows)
     l = left_w.select(F.col(left_id), "term", F.col("w").alias("__wl"))
     r = right_w.select(F.col(right_id), "term", F.col("w").alias("__wr"))
+    if r_small:
+        r = F.broadcast(r)
+    elif l_small:
+        l = F.broadcast(l)
     sim = F.sum(F.col("__wl") * F.col("__wr"))
     if digits is not None:
         sim = F.round(sim, digits)
