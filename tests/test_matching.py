@@ -23,3 +23,33 @@ def test_flagship_rank_starts_at_one(spark):
              .filter("m != 1 or x != n").count()
     assert bad == 0
     assert out.filter("text_similarity < 0 or text_similarity > 1.000001").count() == 0
+
+
+def test_cosine_pairs_same_result_for_every_join_strategy(spark):
+    from conftest import SF_SMALL
+    from talentflow.operators import tfidf as TF
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    bench = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
+    _, (dw, bw) = TF.fit_transform([(docs, "doc_id", "text"), (bench, "item_id", "text")],
+                                   unicode=False)
+    n_bench = bw.count()
+    assert dw.count() > n_bench
+    runs = {
+        "broadcast_right": MT.cosine_pairs(dw, bw, "doc_id", "item_id"),
+        # right side above the bound, left side within it
+        "broadcast_left": MT.cosine_pairs(bw, dw, "item_id", "doc_id",
+                                          broadcast_max_rows=n_bench)
+                             .select("doc_id", "item_id", "text_similarity"),
+        "shuffle": MT.cosine_pairs(dw, bw, "doc_id", "item_id", broadcast_max_rows=None),
+    }
+    plans = {k: v._jdf.queryExecution().executedPlan().toString() for k, v in runs.items()}
+    assert "BroadcastHashJoin" in plans["broadcast_right"]
+    rows = {k: sorted(v.collect()) for k, v in runs.items()}
+    assert rows["shuffle"] and rows["broadcast_right"] == rows["shuffle"] == rows["broadcast_left"]
+
+
+def test_checked_small_bound(spark):
+    df = spark.range(10)
+    assert MT.checked_small(df, 10)[1] is True
+    assert MT.checked_small(df, 9)[1] is False
+    assert MT.checked_small(df, None) == (df, False)
