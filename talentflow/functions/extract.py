@@ -157,12 +157,11 @@ def dict_extract(c: str | Column, patterns: dict[str, str], ignore_case: bool =
     regex engine only runs on rows that can match.
     """
     t = _c(c)
-    low = F.lower(t)
 
     def fast(p):
         return _java_fast(p, unicode) if rewrite else p
 
-    def guard(p):
+    def guard(p, low):
         lits = required_literals(fast(p)) if prefilter else None
         if not lits:
             return F.lit(True)
@@ -172,9 +171,19 @@ def dict_extract(c: str | Column, patterns: dict[str, str], ignore_case: bool =
             g = x if g is None else (g | x)
         return g
 
-    hits = [F.when(guard(p) & t.rlike(_rx(fast(p), ignore_case, unicode)), F.lit(name))
-            for name, p in patterns.items()]
-    arr = F.array_compact(F.array(*hits))
+    def hits(low):
+        return F.array_compact(F.array(*[
+            F.when(guard(p, low) & t.rlike(_rx(fast(p), ignore_case, unicode)), F.lit(name))
+            for name, p in patterns.items()]))
+
+    if prefilter:
+        # The lower-cased text is bound to a lambda variable so it is computed
+        # once per row; referenced by every guard it would otherwise be
+        # recomputed per pattern (subexpressions under conditionals are not
+        # shared by codegen).
+        arr = F.element_at(F.transform(F.array(F.lower(t)), hits), 1)
+    else:
+        arr = hits(None)
     arr = F.coalesce(arr, F.array().cast("array<string>"))
     return F.array_sort(arr) if sort else arr
 
