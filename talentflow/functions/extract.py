@@ -19,6 +19,14 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once per row (bound to a lambda
+    variable). Generated code does not share a subexpression referenced from
+    many conditional branches, so a lower-cased text used by one guard per
+    dictionary entry would otherwise be recomputed for every entry."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def _rx(pattern: str, ignore_case: bool, unicode: bool) -> str:
     f = ("i" if ignore_case else "") + ("U" if unicode else "")
     return (f"(?{f})" if f else "") + pattern
@@ -176,22 +184,15 @@ def dict_extract(c: str | Column, patterns: dict[str, str], ignore_case: bool =
             F.when(guard(p, low) & t.rlike(_rx(fast(p), ignore_case, unicode)), F.lit(name))
             for name, p in patterns.items()]))
 
-    if prefilter:
-        # The lower-cased text is bound to a lambda variable so it is computed
-        # once per row; referenced by every guard it would otherwise be
-        # recomputed per pattern (subexpressions under conditionals are not
-        # shared by codegen).
-        arr = F.element_at(F.transform(F.array(F.lower(t)), hits), 1)
-    else:
-        arr = hits(None)
+    arr = once(F.lower(t), hits) if prefilter else hits(None)
     arr = F.coalesce(arr, F.array().cast("array<string>"))
     return F.array_sort(arr) if sort else arr
 
 
 def substring_extract(c: str | Column, words: list[str] = P.SUBSTRING_SKILLS) -> Column:
     """Dictionary words contained in lower(text), in dictionary order."""
-    t = F.lower(F.coalesce(_c(c), F.lit("")))
-    return F.array_compact(F.array(*[F.when(t.contains(w), F.lit(w)) for w in words]))
+    return once(F.lower(F.coalesce(_c(c), F.lit(""))),
+                lambda t: F.array_compact(F.array(*[F.when(t.contains(w), F.lit(w)) for w in words])))
 
 
 def ordinal_levels(c: str | Column, patterns: dict[str, str] = P.EDUCATION_PATTERNS,
@@ -219,11 +220,12 @@ def level_rank(level: str | Column, rank: dict[str, int] = P.EDUCATION_RANK) ->
 
 def level_cascade(c: str | Column, cascade=P.UPLOAD_EDUCATION_CASCADE) -> Column:
     """First matching rule on lower(text) wins, else 0."""
-    t = F.lower(F.coalesce(_c(c), F.lit("")))
-    out = F.lit(0)
-    for r, p in reversed(cascade):
-        out = F.when(t.rlike(p), F.lit(r)).otherwise(out)
-    return out
+    def rules(t):
+        out = F.lit(0)
+        for r, p in reversed(cascade):
+            out = F.when(t.rlike(p), F.lit(r)).otherwise(out)
+        return out
+    return once(F.lower(F.coalesce(_c(c), F.lit(""))), rules)
 
 
 def max_number(c: str | Column, pattern: str = P.YEARS_PATTERN,
