@@ -45,7 +45,7 @@ def with_ngrams(tokens: str, ngram_max: int = 2) -> Column:
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, ngram_max: int = 2,
                 unicode: bool = True, stop_words=None, keep: list[str] | None = None,
-                colocate: bool = True) -> DataFrame:
+                colocate: bool = True, doc_marker: bool = False) -> DataFrame:
     """L1: ``(id, [keep...], term, tf)`` for every document with text.
 
     ``colocate``: hash-partition the raw rows by ``id`` first (one shuffle of
@@ -57,7 +57,12 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, ngram_max: int = 2,
     keep = keep or []
     src = df.repartition(id_col) if colocate else df
     toks = src.select(id_col, *keep, token_array(text_col, unicode, stop_words).alias("__tok"))
-    terms = toks.select(id_col, *keep, F.explode(with_ngrams("__tok", ngram_max)).alias("term"))
+    grams = with_ngrams("__tok", ngram_max)
+    if doc_marker:
+        # one extra row per document with a NULL term: the document count then
+        # falls out of the per-term statistics pass (no separate text scan)
+        grams = F.concat(grams, F.array(F.lit(None).cast("string")))
+    terms = toks.select(id_col, *keep, F.explode(grams).alias("term"))
     return terms.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -69,10 +74,21 @@ def fit_vocabulary(tf: DataFrame, id_col: str, n_docs: int, min_df: int = P.TFID
     ``min_df``/``max_df`` accept an absolute count (int) or a share (float).
     ``max_features`` keeps the terms with the largest corpus count (ties by term).
     """
+    return vocabulary_from_stats(term_stats(tf), n_docs, min_df, max_df, max_features)
+
+
+def term_stats(tf: DataFrame) -> DataFrame:
+    """``(term, df, total)``: documents containing each term and its corpus count."""
+    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+
+
+def vocabulary_from_stats(stats: DataFrame, n_docs: int, min_df=P.TFIDF_MIN_DF,
+                          max_df=P.TFIDF_MAX_DF,
+                          max_features: int | None = P.TFIDF_MAX_FEATURES) -> DataFrame:
+    """L2 on precomputed ``term_stats``: min_df / max_df / max_features and idf."""
     lo = min_df if isinstance(min_df, int) else min_df * n_docs
     hi = max_df if isinstance(max_df, int) else max_df * n_docs
-    stats = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-               .filter((F.col("df") >= lo) & (F.col("df") <= hi)))
+    stats = stats.filter((F.col("df") >= lo) & (F.col("df") <= hi))
     if max_features:
         stats = stats.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
     return stats.select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
@@ -106,20 +122,33 @@ def fit_transform(corpus_parts: list[tuple[DataFrame, str, str]], ngram_max: int
     ``(vocab, [weights per part])``. Fitting is eager (like an MLlib
     estimator): the vocabulary is checkpointed into the shared folder.
     """
-    from talentflow.session import checkpoint_dir
+    from talentflow.session import checkpoint_dir, cut_lineage
     checkpoint_dir(corpus_parts[0][0].sparkSession)
-    tfs, n_docs = [], 0
-    for df, idc, txt in corpus_parts:
-        tfs.append(term_counts(df, idc, txt, ngram_max, unicode, stop_words))
-        n_docs += df.count()
+    tfs = [term_counts(df, idc, txt, ngram_max, unicode, stop_words, doc_marker=materialize)
+           for df, idc, txt in corpus_parts]
     union = None
     for tfp, (_, idc, _) in zip(tfs, corpus_parts):
         part = tfp.select(F.col(idc).cast("string").alias("__doc"), "term", "tf")
         union = part if union is None else union.unionByName(part)
-    vocab = fit_vocabulary(union, "__doc", n_docs, min_df, max_df, max_features)
+    if materialize:
+        # one pass over the text: per-term statistics plus the document count
+        # (the NULL marker term), written once; the table has one row per
+        # distinct term, far smaller than the text it replaces a scan of
+        st = term_stats(union)
+        if isinstance(min_df, int):     # an absolute min_df needs no n_docs: cut the tail first
+            st = st.filter(F.col("term").isNull() | (F.col("df") >= min_df))
+        stats = cut_lineage(st)
+        marker = stats.filter(F.col("term").isNull()).select("df").collect()
+        n_docs = int(marker[0]["df"]) if marker else 0
+        vocab = vocabulary_from_stats(stats.filter(F.col("term").isNotNull()), n_docs,
+                                      min_df, max_df, max_features)
+    else:
+        n_docs = sum(df.count() for df, _, _ in corpus_parts)
+        vocab = fit_vocabulary(union, "__doc", n_docs, min_df, max_df, max_features)
     # the fitted model: materialised once (bounded by max_features rows) so every
     # transform reads it instead of re-deriving it from the corpus
     vocab = vocab.checkpoint(eager=True) if materialize else vocab
+    # the inner join on term drops the NULL marker rows
     weights = [weigh(tfp, vocab, idc, sublinear, bounded_vocab=bool(max_features))
                for tfp, (_, idc, _) in zip(tfs, corpus_parts)]
     return vocab, weights
