@@ -9,9 +9,11 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings applied only where the running session/builder has no value yet.
+# Settings applied only where nothing was submitted (see ``get_spark``). Sizes
+# (shuffle partitions, memory) are the cluster's business and have no default here.
 _DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -20,10 +22,14 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.shuffle.partitions": "8",
-    "spark.driver.memory": "16g",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+# Scratch folder of a plain local session that names none, and the applications
+# whose checkpoint folder is set.
+_LOCAL_DIRS: dict[str, str] = {}
+_CHECKPOINTING: set[str] = set()
+
 
 def get_spark(master: str | None = None, app: str = "talentflow",
               extra: dict[str, str] | None = None) -> SparkSession:
@@ -32,10 +38,12 @@ def get_spark(master: str | None = None, app: str = "talentflow",
     if active is not None:
         return active
     b = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
+    SparkContext._ensure_initialized()  # the JVM side knows what was submitted
+    submitted = SparkConf()
+    if not submitted.contains("spark.master"):
         b = b.master(master or "local[*]")
-    conf = dict(_DEFAULTS)
-    conf.update(extra or {})
+    conf = {k: v for k, v in _DEFAULTS.items() if not submitted.contains(k)}
+    conf.update({k: v for k, v in (extra or {}).items() if not submitted.contains(k)})
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -52,12 +60,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        d = _LOCAL_DIRS.get(spark.sparkContext.applicationId)
+    if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a shared folder: a machine-local "
                                "folder does not survive the loss of an executor")
         d = tempfile.mkdtemp(prefix="talentflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        _LOCAL_DIRS[spark.sparkContext.applicationId] = d
+    if spark.sparkContext.applicationId not in _CHECKPOINTING:
+        # once per application: every call would open a further subfolder
+        spark.sparkContext.setCheckpointDir(d)
+        _CHECKPOINTING.add(spark.sparkContext.applicationId)
     return d
 
 
