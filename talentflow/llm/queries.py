@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentflow.llm import decontaminate, token_counts
+from talentflow.llm import decontaminate, langid_cnn, quality_rules, token_counts, url_redirects
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     c = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return c.select(F.col("doc").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def _fold(of: int):
+    """crc32 of the document's id as text, modulo ``of``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of))
+
+
+@_query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = docs.filter(_fold(4) != 2)
+    model = quality_rules.fit(train, _table(spark, sf_dir, "labels"))
+    return quality_rules.score(docs, model).select(
+        "doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@_query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid_cnn.fit(docs.filter(_fold(3) != 1))
+    return langid_cnn.predict(docs, model).select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op4_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = url_redirects.judge(_table(spark, sf_dir, "pages"))
+    return j.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
