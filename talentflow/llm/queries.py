@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentflow.llm import decontaminate, langid_cnn, quality_rules, token_counts, url_redirects
+from talentflow.llm import (decontaminate, langid_cnn, ngram_join, quality_rules, token_counts,
+                             url_redirects)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +61,9 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = url_redirects.judge(_table(spark, sf_dir, "pages"))
     return j.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@_query
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+    return judged.withColumnRenamed("doc", "doc_id")
