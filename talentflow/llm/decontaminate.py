@@ -23,11 +23,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentflow.llm import kernel as K
-from talentflow.llm.store import map_arrow, materialise
+from talentflow.llm.store import BITMAP_BITS, bitmap, map_arrow, marked, materialise
 
 WINDOW = 13
 K_WORDS = 5
-BITMAP_BITS = 1 << 23
 
 
 def _scan(data: np.ndarray, offsets: np.ndarray, window: int, k: int):
@@ -81,30 +80,13 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
     return map_arrow(rows, run, f"item {kind}, n int, win string, fp long").distinct()
 
 
-def _bitmap(prints: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of the column ``fp``: at most ``bits / 64`` rows come to the driver."""
-    slot = F.col("fp").bitwiseAND(F.lit(bits - 1))
-    cells = (prints.select(F.shiftright(slot, 6).cast("int").alias("cell"),
-                           F.expr(f"shiftleft(1L, int((fp & {bits - 1}) & 63))").alias("bit"))
-             .groupBy("cell").agg(F.bit_or("bit").alias("word")).collect())
-    words = np.zeros(bits // 64, dtype=np.int64)
-    for c in cells:
-        words[c.cell] = c.word
-    return words.view(np.uint64)
-
-
-def _marked(words: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    slot = fp & np.uint64(len(words) * 64 - 1)
-    return (words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
-
-
 def candidate_windows(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str,
                       window: int = WINDOW, k: int = K_WORDS, bits: int = BITMAP_BITS) -> DataFrame:
     """Scan the documents: ``rid, doc, n_words, cand`` with one row per input row; ``cand``
     holds the windows (position, words, fingerprint) that the bitmap lets through."""
     spark = docs.sparkSession
-    full = _bitmap(windows.filter(F.col("n") == window), bits)
-    part = _bitmap(windows.filter(F.col("n") < window), bits)
+    full = bitmap(windows.filter(F.col("n") == window), "fp", bits)
+    part = bitmap(windows.filter(F.col("n") < window), "fp", bits)
     short = [r.n for r in windows.filter(F.col("n") < window).select("n").distinct().collect()]  # < window rows
     maps = spark.sparkContext.broadcast((full, part, sorted(short)))
     item = pa.struct([("pos", pa.int32()), ("n", pa.int32()), ("win", pa.string()), ("fp", pa.int64())])
@@ -116,11 +98,11 @@ def candidate_windows(docs: DataFrame, windows: DataFrame, id_col: str, text_col
                 low, w, h, at, fp = _scan(s.data, s.offsets, window, k)
                 size = np.bincount(w.row, minlength=s.rows)
                 first = np.concatenate(([0], np.cumsum(size)[:-1]))
-                hit = _marked(full, fp)
+                hit = marked(full, fp)
                 found = [(at[hit], np.full(int(hit.sum()), window), fp[hit])]
                 for n in short:
                     g = K.ngram_hashes(h, n)
-                    ok = np.flatnonzero((w.row[:len(g)] == w.row[n - 1:n - 1 + len(g)]) & _marked(part, g))
+                    ok = np.flatnonzero((w.row[:len(g)] == w.row[n - 1:n - 1 + len(g)]) & marked(part, g))
                     found.append((ok, np.full(len(ok), n), g[ok]))
                 at, ns, fps = (np.concatenate(x) for x in zip(*found))
                 order = np.argsort(w.row[at], kind="stable")

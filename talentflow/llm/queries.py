@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentflow.llm import (decontaminate, langid_cnn, ngram_join, quality_rules, token_counts,
-                             url_redirects)
+from talentflow.llm import (decontaminate, langid_cnn, line_templates, ngram_join, quality_rules,
+                             token_counts, url_redirects)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,9 @@ def op4_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
     return judged.withColumnRenamed("doc", "doc_id")
+
+
+@_query
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring_lines(docs).withColumnRenamed("__dropped", "n_dropped")

@@ -13,10 +13,15 @@ import tempfile
 import uuid
 import zipfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from talentflow.session import checkpoint_dir
 
+#: bits of a hash bitmap: 1 MB, whatever the size of what it marks
+BITMAP_BITS = 1 << 23
+
 _ROOTS: set[str] = set()
 _SHIPPED: set[str] = set()
 
@@ -85,3 +90,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
+
+
+def bitmap(rows: DataFrame, col: str, bits: int = BITMAP_BITS) -> np.ndarray:
+    """A bitmap of the low bits of the 64-bit hashes in ``col``.
+
+    Of fixed size: at most ``bits / 64`` rows come to the driver. It serves as a filter that
+    never drops a marked hash; what else passes is sorted out by a join afterwards."""
+    slot = F.col(col).bitwiseAND(F.lit(bits - 1))
+    cells = (rows.select(F.shiftright(slot, 6).cast("int").alias("cell"),
+                         F.expr(f"shiftleft(1L, int((`{col}` & {bits - 1}) & 63))").alias("bit"))
+             .groupBy("cell").agg(F.bit_or("bit").alias("word")).collect())
+    words = np.zeros(bits // 64, dtype=np.int64)
+    for c in cells:
+        words[c.cell] = c.word
+    return words.view(np.uint64)
+
+
+def marked(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes are marked in a bitmap."""
+    slot = hashes & np.uint64(len(words) * 64 - 1)
+    return (words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
