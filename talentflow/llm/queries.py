@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentflow.llm import (decontaminate, langid_cnn, line_templates, ngram_join, quality_rules,
-                             token_counts, url_redirects)
+from talentflow.llm import (decontaminate, langid_cnn, line_templates, ngram_join, pq_dedup,
+                             quality_rules, token_counts, url_redirects)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.drop_recurring_lines(docs).withColumnRenamed("__dropped", "n_dropped")
+
+
+@_query
+def op9_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_vectors(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
