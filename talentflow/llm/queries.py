@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentflow.llm import (decontaminate, langid_cnn, line_templates, ngram_join, pq_dedup,
+from talentflow.llm import (decontaminate, gru_lm, langid_cnn, line_templates, ngram_join, pq_dedup,
                              quality_rules, token_counts, url_redirects)
 
 QUERIES: dict = {}
@@ -78,3 +78,12 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq_dedup.near_vectors(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@_query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = gru_lm.fit(docs, F.coalesce(_fold(7) != 2, F.lit(True)))
+    return gru_lm.score(docs, model).withColumnRenamed("doc", "doc_id").select(
+        "doc_id", F.coalesce(_fold(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score")
