@@ -1,23 +1,68 @@
 """A corpus pipeline: each stage reads what its predecessor kept.
 
-``run(spark, sf_dir)`` applies the stages to ``documents``; between two stages the
-documents are written as Parquet in the shared checkpoint folder and read again.
+``run(spark, sf_dir)`` applies the stages to ``documents``; between two stages the documents
+are written as Parquet in the shared checkpoint folder and read again. All stages but the
+last return the columns of ``documents``:
+
+1. language ID: documents without a letter, or whose language the network can't tell, go;
+2. line dedup: lines whose template recurs across documents are cut out of the texts;
+3. n-gram Jaccard join: of each group of near-duplicates the smallest id stays;
+4. benchmark decontamination: contaminated documents go;
+5. SentencePiece encoding and decoding: sampled ids and the text that they decode to.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from talentflow.llm import decontaminate
+from talentflow.llm import decontaminate, langid_cnn, line_templates, ngram_join, sp_sampling
 from talentflow.llm.store import materialise
 
+MIN_LANG_SCORE = 0.5
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the network, trained on their ``lang``, tells with a score
+    of ``MIN_LANG_SCORE`` or more. Null texts and texts without a letter go."""
+    model = langid_cnn.fit(docs)
+    seen = langid_cnn.predict(docs, model, keep=tuple(docs.columns))
+    known = (F.col("lang_pred") != langid_cnn.UNKNOWN) & (F.col("score") >= MIN_LANG_SCORE)
+    return seen.filter(known).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their texts without recurring lines; ``n_chars`` follows the text."""
+    cut = line_templates.drop_recurring_lines(docs)
+    n_chars = F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by similarity 0.8 or more: the smallest id."""
+    return ngram_join.drop_near_duplicates(docs)
+
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without contaminated ones (winnowing against ``benchmark``)."""
+    """Documents that are not contaminated with ``benchmark``."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("benchmark decontamination", decontamination)]
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, lang, source, n_chars``, the sampled ``ids`` and the ``text`` they decode to."""
+    ids = sp_sampling.encode(docs, PIECE_MODEL, keep=("doc_id", "lang", "source", "n_chars"))
+    return sp_sampling.decode(ids, PIECE_MODEL, out_col="text")
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
 
 #: the stages hold a trained network and sampled segmentations, which SQL cannot express
 ORACLE_SQL = None

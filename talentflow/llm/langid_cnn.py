@@ -161,17 +161,18 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 def predict(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text",
             keep: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` (columns ``id_col`` and ``keep``) with ``lang_pred`` and ``score``.
+    """``docs`` (columns ``keep``, or else ``id_col``) with ``lang_pred`` and ``score``.
 
     ``und`` with score 0 for a null text, a text without any letter, or without a model.
     Every window of a text counts; repeated rows are judged each."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [id_col, *keep]
+    kept = list(keep) or [id_col]
+    at = kept.index(text_col) if text_col in kept else len(kept)
 
     def run(batches):
         net = held.value
         for b in batches:
-            for s in K.slices(b.column(len(kept)), SLICE):
+            for s in K.slices(b.column(at), SLICE):
                 lang, score = [UNKNOWN] * s.rows, np.zeros(s.rows)
                 if net is not None and len(s.data):
                     x, row = _windows(K.LOWER[s.data], s.offsets, WINDOW)
@@ -193,5 +194,5 @@ def predict(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text
                     [pa.array(lang, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    rows = docs.select(*kept, F.col(text_col).cast("string").alias("__text"))
+    rows = docs.select(*kept, *([F.col(text_col).alias("__text")] if at == len(kept) else []))
     return map_arrow(rows, run, f"{fields}, lang_pred string, score double")

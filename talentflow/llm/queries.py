@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentflow.llm import (decontaminate, gru_lm, langid_cnn, line_templates, ngram_join, pq_dedup,
-                             quality_rules, token_counts, url_redirects)
+                             quality_rules, sp_sampling, token_counts, url_redirects)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,14 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score(docs, model).withColumnRenamed("doc", "doc_id").select(
         "doc_id", F.coalesce(_fold(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens",
         "base_score", "score")
+
+
+@_query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("was"))
+    ids = sp_sampling.encode(docs, model, keep=("doc_id", "was"))
+    return sp_sampling.decode(ids, model).select(
+        "doc_id", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_pieces"), "ids",
+        (F.xxhash64("decoded") == F.col("was")).alias("lossless"))
