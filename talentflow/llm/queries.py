@@ -98,3 +98,22 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_sampling.decode(ids, model).select(
         "doc_id", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_pieces"), "ids",
         (F.xxhash64("decoded") == F.col("was")).alias("lossless"))
+
+
+ORACLES["op4_url_redirects"] = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+named AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parts),
+rules(rule, own, rank) AS (VALUES ('org/', 'allow', 4), ('example.org/es/', 'block', 15), ('example.org/en/1', 'block', 16),
+                                  ('com/fr/', 'allow', 7), ('com/de/', 'block', 7)),
+fits AS (
+  SELECT n.page_id, r.rule, r.own, row_number() OVER (PARTITION BY n.page_id ORDER BY r.rank DESC, r.rule) AS k
+  FROM named n JOIN rules r ON (n.host = split_part(r.rule, '/', 1) OR ends_with(n.host, '.' || split_part(r.rule, '/', 1)))
+                           AND starts_with(n.path, substr(r.rule, strpos(r.rule, '/'))))
+SELECT n.page_id, n.host, n.path, f.rule, coalesce(f.own, 'allow') AS verdict
+FROM named n LEFT JOIN fits f ON n.page_id = f.page_id AND f.k = 1
+-- no page of these tables has a canonical link or a refresh, so that every alias class is one url
+"""
