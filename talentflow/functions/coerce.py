@@ -107,16 +107,51 @@ def mask_outlier(c: str | Column, cap: float = P.SALARY_CAP) -> Column:
     return F.when((c > 0) & (c <= cap), c)
 
 
-def median_impute(df: DataFrame, col: str, known_flag: str | None = None,
-                  exact: bool = True, accuracy: int = 100000) -> DataFrame:
-    """Fill NULL with the column median (plus an optional known-flag).
+def _finite(v: Column) -> Column:
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
 
-    The median is one distributed aggregate returning a scalar; with ``exact``
-    it is ``percentile`` (partial state = value->count map, bounded by distinct
-    values), otherwise ``percentile_approx`` for high-cardinality columns.
+
+def kth_value(df: DataFrame, col: str, k: int, small: int = 10_000, buckets: int = 1024):
+    """The ``k``-th smallest (from 0) finite value of a numeric column, exactly.
+
+    Each pass counts the values per equal range of the current interval (``buckets`` rows come
+    to the driver) and goes on with the range that holds the rank, until it holds one value
+    or at most ``small`` rows.
+    """
+    v = F.col(col).cast("double")
+    rows = df.filter(_finite(v)).select(v.alias("v"))
+    while True:
+        lo, hi, n = rows.agg(F.min("v"), F.max("v"), F.count("*")).first()
+        if lo == hi:
+            return lo
+        if n <= small:
+            return sorted(r.v for r in rows.collect())[k]
+        width = (hi - lo) / buckets
+        part = F.least(F.floor((F.col("v") - lo) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+        for b, c in sorted((r.b, r.c) for r in rows.groupBy(part.alias("b")).agg(F.count("*").alias("c")).collect()):
+            if k < c:
+                rows = rows.filter(part == b)
+                break
+            k -= c
+
+
+def median(df: DataFrame, col: str):
+    """The exact median (mean of the two middle values), or None without values."""
+    v = F.col(col).cast("double")
+    n = df.filter(_finite(v)).count()
+    if not n:
+        return None
+    low = kth_value(df, col, (n - 1) // 2)
+    return low if n % 2 else 0.5 * low + 0.5 * kth_value(df, col, n // 2)
+
+
+def median_impute(df: DataFrame, col: str, known_flag: str | None = None) -> DataFrame:
+    """Fill NULL with the column's exact median (plus an optional known-flag).
+
+    The median is found by range counts (``kth_value``): no task sees more than a range of
+    values. ``df`` is read once per pass: hand over a stored table if it is costly.
     """
-    agg = (F.percentile(col, 0.5) if exact else F.percentile_approx(col, 0.5, accuracy))
-    med = df.agg(agg.cast("double").alias("m")).first()["m"]
+    med = median(df, col)
     out = df
     if known_flag:
         out = out.withColumn(known_flag, F.col(col).isNotNull().cast("int"))

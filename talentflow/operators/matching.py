@@ -18,50 +18,41 @@ from talentflow.functions import extract as X
 from talentflow.plans import presets as P
 
 
-def checked_small(df: DataFrame, max_rows: int | None) -> tuple[DataFrame, bool]:
-    """Write ``df`` once to the shared checkpoint folder and report whether it
-    has at most ``max_rows`` rows -- a proven bound for broadcasting it.
-
-    The count reads at most ``max_rows + 1`` rows of the written table, and
-    the written table (with its partitioning) is what the caller joins, so a
-    table that is too large costs one write, not a second computation.
-    """
-    if not max_rows:
-        return df, False
-    from talentflow.session import cut_lineage
-    df = cut_lineage(df)
-    return df, df.limit(max_rows + 1).count() <= max_rows
-
-
-def cosine_pairs(left_w: DataFrame, right_w: DataFrame, left_id: str, right_id: str,
-                 digits: int | None = 6,
-                 broadcast_max_rows: int | None = P.BROADCAST_MAX_ROWS) -> DataFrame:
+def cosine_pairs(left_w: DataFrame, right_w: DataFrame, left_id: str, right_id: str) -> DataFrame:
     """``(left_id, right_id, text_similarity)`` for pairs sharing a term.
 
-    Join strategy: if one weight table is proven to hold at most
-    ``broadcast_max_rows`` rows (right side checked first, then left), it is
-    broadcast and the other side keeps its partitioning by document id, so
-    neither its exploded term rows nor the pair rows are shuffled: the pair
-    sum and the per-document top-k run in place. Otherwise both sides are
-    shuffled on ``term`` (AQE splits a hot term) and the pair sums are
-    partially aggregated before their shuffle.
+    One plan at every size: an equi-join on ``term``, which Spark broadcasts or shuffles by
+    the measured size of its sides (AQE splits a hot term), and pair sums that are partially
+    aggregated before their shuffle. The similarity is rounded to 12 digits, so that equal
+    texts tie whatever the order of summation; presentation rounds further.
     """
-    right_w, r_small = checked_small(right_w, broadcast_max_rows)
-    l_small = False
-    if not r_small:
-        left_w, l_small = checked_small(left_w, broadcast_max_rows)
     l = left_w.select(F.col(left_id), "term", F.col("w").alias("__wl"))
     r = right_w.select(F.col(right_id), "term", F.col("w").alias("__wr"))
-    if r_small:
-        r = F.broadcast(r)
-    elif l_small:
-        l = F.broadcast(l)
-    sim = F.sum(F.col("__wl") * F.col("__wr"))
-    if digits is not None:
-        sim = F.round(sim, digits)
+    sim = F.round(F.sum(F.col("__wl") * F.col("__wr")), 12)
     return l.join(r, "term").groupBy(left_id, right_id).agg(sim.alias("text_similarity"))
 
 
+def fill_pairs(found: DataFrame, ids: DataFrame, others: DataFrame, left_id: str, right_id: str,
+               k: int) -> DataFrame:
+    """Zero-similarity pairs for every id of ``ids`` with fewer than ``k`` pairs in ``found``.
+
+    The ``k`` smallest unmatched ids of ``others`` are among its ``2 k`` smallest, so that no
+    more than these are looked at; ids with ``k`` pairs or more get none.
+    """
+    first = [r[0] for r in others.select(right_id).distinct().orderBy(right_id).limit(2 * k).collect()]
+    if not first:
+        return found.limit(0)
+    kind = f"array<{others.schema[right_id].dataType.simpleString()}>"
+    near = F.lit(first).cast(kind)
+    have = found.groupBy(left_id).agg(F.count(F.lit(1)).alias("__n"), F.collect_set(
+        F.when(F.col(right_id).isin(first), F.col(right_id))).alias("__seen"))
+    short = (ids.select(left_id).distinct().join(have, left_id, "left")
+                .filter(F.coalesce("__n", F.lit(0)) < k))
+    rest = F.slice(F.array_except(near, F.coalesce("__seen", F.array().cast(kind))), 1, k)
+    return (short.select(left_id, F.explode(rest).alias(right_id))
+                 .withColumn("text_similarity", F.lit(0.0)).select(*found.columns))
+
+
 def top_k(df: DataFrame, part: str | list[str], order: list[Column], k: int,
           rank_col: str = "rank") -> DataFrame:
     """Keep the first ``k`` rows per group by an explicit total order."""
@@ -70,11 +61,21 @@ def top_k(df: DataFrame, part: str | list[str], order: list[Column], k: int,
 
 
 def cosine_topk(left_w: DataFrame, right_w: DataFrame, left_id: str, right_id: str,
-                k: int = P.TOP_K) -> DataFrame:
-    """Top-k right documents per left document (ties by right id)."""
-    pairs = cosine_pairs(left_w, right_w, left_id, right_id)
-    return top_k(pairs, left_id, [F.desc("text_similarity"), F.asc(right_id)], k,
-                 "text_rank")
+                k: int = P.TOP_K, left_ids: DataFrame | None = None,
+                right_ids: DataFrame | None = None) -> DataFrame:
+    """Top-k right documents per left document (ties by right id).
+
+    With the tables of all ids every left document gets ``min(k, right documents)`` rows:
+    pairs that share no term count with similarity 0, by smallest right id.
+    """
+    from talentflow.session import cut_lineage
+    order = [F.desc("text_similarity"), F.asc(right_id)]
+    best = top_k(cosine_pairs(left_w, right_w, left_id, right_id), left_id, order, k, "text_rank")
+    if left_ids is None or right_ids is None:
+        return best
+    best = cut_lineage(best.drop("text_rank"))
+    fill = fill_pairs(best, left_ids, right_ids, left_id, right_id, k)
+    return top_k(best.unionByName(fill), left_id, order, k, "text_rank")
 
 
 def skill_fields(pairs: DataFrame, left_skills: DataFrame, right_skills: DataFrame,
@@ -138,7 +139,7 @@ def hybrid_match(left_text: DataFrame, right_text: DataFrame, left_id: str, righ
     _, (lw, rw) = tfidf.fit_transform([(left_text, left_id, left_txt),
                                        (right_text, right_id, right_txt)],
                                       unicode=unicode, **tfidf_kw)
-    pairs = cosine_topk(lw, rw, left_id, right_id, k).drop("text_rank")
+    pairs = cosine_topk(lw, rw, left_id, right_id, k, left_text, right_text).drop("text_rank")
     # used twice (matched-job filter and scoring): written once (n_left x k rows)
     from talentflow.session import cut_lineage
     pairs = cut_lineage(pairs)
@@ -163,12 +164,11 @@ def candidates_for_job(left_w: DataFrame, right_w: DataFrame, job_ids: DataFrame
     """Score every left document against the requested jobs, shortlist
     3·n by text similarity, blend with skill overlap, keep n (H4).
 
-    Unknown job ids give no rows.
+    ``job_ids`` are known jobs and ``left_skills`` has a row for every left document:
+    documents that share no term with a job count with similarity 0.
     """
     rw = right_w.join(job_ids.select(right_id).distinct(), right_id, "left_semi")
-    pairs = cosine_pairs(left_w, rw, left_id, right_id)
-    short = top_k(pairs, right_id, [F.desc("text_similarity"), F.asc(left_id)], 3 * top_n,
-                  "__short").drop("__short")
+    short = cosine_topk(rw, left_w, right_id, left_id, 3 * top_n, job_ids, left_skills).drop("text_rank")
     scored = skill_fields(short, left_skills, job_skills, left_id, right_id)
     scored = (scored.withColumn("final_match_score", hybrid_score())
                     .withColumn("text_match_pct", F.round(F.col("text_similarity") * 100.0, 1))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentflow.plans import presets as P
+from talentflow.session import cut_lineage
 
 
 def group_hash(col: str, seed: int = P.SEED) -> Column:
@@ -142,10 +143,8 @@ def label_index_col(label: str = "suitability", labels: list[str] = P.LABELS) ->
     return F.element_at(m, F.col(label))
 
 
-def classifiers(n_features: int, n_classes: int = 3, seed: int = P.SEED, fast: bool = False) -> dict:
+def classifiers(n_features: int, n_classes: int = 3, seed: int = P.SEED) -> dict:
     """M7-M11 estimators (weights through ``weightCol`` where supported)."""
-    trees = 20 if fast else 400
-    rounds = 10 if fast else 350
     return {
         "logistic_regression": LogisticRegression(featuresCol="features", labelCol="label_idx",
                                                   weightCol="weight", family="multinomial",
@@ -155,17 +154,17 @@ def classifiers(n_features: int, n_classes: int = 3, seed: int = P.SEED, fast: b
                                 featuresCol="features", labelCol="label_idx", weightCol="weight",
                                 parallelism=3),
         "random_forest": RandomForestClassifier(featuresCol="features", labelCol="label_idx",
-                                                weightCol="weight", numTrees=trees, maxDepth=10,
+                                                weightCol="weight", numTrees=400, maxDepth=10,
                                                 minInstancesPerNode=5, featureSubsetStrategy="sqrt",
                                                 seed=seed),
         "gbt": OneVsRest(classifier=GBTClassifier(featuresCol="features", labelCol="label_idx",
-                                                  weightCol="weight", maxIter=rounds, maxDepth=4,
+                                                  weightCol="weight", maxIter=350, maxDepth=4,
                                                   stepSize=0.07, subsamplingRate=0.8, seed=seed),
                          featuresCol="features", labelCol="label_idx", weightCol="weight",
                          parallelism=3),
         "mlp": MultilayerPerceptronClassifier(featuresCol="features", labelCol="label_idx",
                                               layers=[n_features, 128, 64, n_classes], seed=seed,
-                                              maxIter=50 if fast else 200),
+                                              maxIter=200),
     }
 
 
@@ -174,9 +173,9 @@ def index_to_label(col: str, labels: list[str] = P.LABELS) -> Column:
 
 
 def fit_and_score(train: DataFrame, test: DataFrame, num_cols: list[str], name: str,
-                  fast: bool = False, extra_vec: list[str] | None = None, n_extra: int = 0):
+                  extra_vec: list[str] | None = None, n_extra: int = 0, params: dict | None = None):
     """Fit feature pipeline + one classifier on train; predictions on both splits."""
-    est = classifiers(len(num_cols) + n_extra, fast=fast)[name]
+    est = with_params(classifiers(len(num_cols) + n_extra)[name], params or {})
     model = Pipeline(stages=[*feature_pipeline(num_cols, extra_vec), est]).fit(train)
     out = []
     for part in (train, test):
@@ -185,6 +184,34 @@ def fit_and_score(train: DataFrame, test: DataFrame, num_cols: list[str], name:
     return model, out[0], out[1]
 
 
+def with_params(est, params: dict):
+    """A copy of an estimator with parameters set (of the inner one for one-vs-rest)."""
+    inner = est.getClassifier() if isinstance(est, OneVsRest) else est
+    inner = inner.copy({inner.getParam(k): v for k, v in params.items()})
+    return est.copy({est.classifier: inner}) if isinstance(est, OneVsRest) else inner
+
+
+def grid_search(train: DataFrame, group: str, num_cols: list[str], name: str, grid: list[dict], k: int = 4,
+                extra_vec: list[str] | None = None, n_extra: int = 0) -> tuple[dict, DataFrame]:
+    """The parameters with the best mean macro-F1 over stratified group folds, and the
+    table ``params, fold, f1_macro, train_f1`` (one row per fit)."""
+    spark = train.sparkSession
+    folds = cut_lineage(stratified_group_folds(train, group, "suitability", k))
+    rows = []
+    for params in grid:
+        for f in range(k):
+            fit, held = folds.filter(F.col("fold") != f), folds.filter(F.col("fold") == f)
+            _, a, b = fit_and_score(fit, held, num_cols, name, extra_vec, n_extra, params)
+            got = [macro_metrics(x, "suitability", "predicted").first().f1_macro for x in (b, a)]
+            rows.append((str(sorted(params.items())), f, *[None if g is None else float(g) for g in got]))
+    table = spark.createDataFrame(rows, "params string, fold int, f1_macro double, train_f1 double")
+    mean = {}
+    for name_, _, f1, _ in rows:
+        mean.setdefault(name_, []).append(f1 or 0.0)
+    best = max(grid, key=lambda p: sum(mean[str(sorted(p.items()))]))
+    return best, table
+
+
 def generalisation_gap(train_pred: DataFrame, test_pred: DataFrame, y: str = "suitability") -> DataFrame:
     """Metrics on both splits and their F1 gap."""
     a = macro_metrics(train_pred, y, "predicted").select(F.col("f1_macro").alias("train_f1"),

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talentflow.functions.coerce import median
 from talentflow.plans import presets as P
 
 
@@ -95,19 +96,18 @@ def readiness(metrics: DataFrame, weights: dict[str, dict[str, float]] = P.JOB_R
     return metrics.select("*", *cols)
 
 
-def describe_numeric(df: DataFrame, cols: list[str], exact_median: bool = True) -> DataFrame:
-    """F16: (column, mean, std, min, median, max) in one aggregation pass."""
+def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
+    """F16: (column, mean, std, min, median, max): one aggregation pass, and the exact medians
+    by range counts."""
     aggs = []
     for i, c in enumerate(cols):
-        med = F.percentile(c, 0.5) if exact_median else F.percentile_approx(c, 0.5, 100000)
         aggs += [F.avg(c).alias(f"mean{i}"), F.stddev_samp(c).alias(f"std{i}"),
-                 F.min(c).cast("double").alias(f"min{i}"), med.cast("double").alias(f"med{i}"),
-                 F.max(c).cast("double").alias(f"max{i}")]
+                 F.min(c).cast("double").alias(f"min{i}"), F.max(c).cast("double").alias(f"max{i}")]
     one = df.agg(*aggs)
     return one.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"mean{i}").alias("mean"),
                  F.col(f"std{i}").alias("std"), F.col(f"min{i}").alias("min"),
-                 F.col(f"med{i}").alias("median"), F.col(f"max{i}").alias("max"))
+                 F.lit(median(df, c)).cast("double").alias("median"), F.col(f"max{i}").alias("max"))
         for i, c in enumerate(cols)])).alias("s")).select("s.*")
 
 

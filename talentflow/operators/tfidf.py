@@ -90,19 +90,43 @@ def vocabulary_from_stats(stats: DataFrame, n_docs: int, min_df=P.TFIDF_MIN_DF,
     hi = max_df if isinstance(max_df, int) else max_df * n_docs
     stats = stats.filter((F.col("df") >= lo) & (F.col("df") <= hi))
     if max_features:
-        stats = stats.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
+        stats = most_frequent(stats, max_features)
     return stats.select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def weigh(tf: DataFrame, vocab: DataFrame, id_col: str, sublinear: bool = True,
-          bounded_vocab: bool = True, digits: int | None = None) -> DataFrame:
-    """L3/L4 transform: ``(id, term, w)`` with L2-normalised weights.
+def most_frequent(stats: DataFrame, n: int) -> DataFrame:
+    """The ``n`` terms with the largest ``total`` (ties by term).
+
+    A histogram of totals, first by power of two and then inside the bin that holds the cut,
+    tells the total at the cut; terms above it pass a filter, and only terms with exactly
+    that total are ordered.
+    """
+    bin_ = F.floor(F.log2("total")).cast("int")
+
+    def cut(counts):
+        """Rows above the cut, and the value at it (None if all fit)."""
+        above = 0
+        for value, c in sorted(counts, reverse=True):
+            if above + c > n:
+                return above, value
+            above += c
+        return above, None
+    bins = [(r.b, r.c) for r in stats.groupBy(bin_.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()]
+    above, b = cut(bins)
+    if b is None:
+        return stats
+    inside = stats.filter(bin_ == b).groupBy("total").agg(F.count(F.lit(1)).alias("c")).collect()
+    above, total = cut([(r.total, r.c) for r in inside] + [(float("inf"), above)] * (above > 0))
+    ties = stats.filter(F.col("total") == total).orderBy("term").limit(n - above)
+    return stats.filter(F.col("total") > total).unionByName(ties)
 
-    ``bounded_vocab``: the vocabulary came from ``fit_vocabulary`` with a
-    ``max_features`` cap, so it is broadcast; otherwise the join is left to
-    AQE's runtime size check.
+
+def weigh(tf: DataFrame, vocab: DataFrame, id_col: str, sublinear: bool = True,
+          digits: int | None = None) -> DataFrame:
+    """L3/L4 transform: ``(id, term, w)`` with L2-normalised weights. Spark broadcasts the
+    vocabulary or not by its size.
     """
-    v = F.broadcast(vocab) if bounded_vocab else vocab
+    v = vocab
     tfc = (1.0 + F.log(F.col("tf"))) if sublinear else F.col("tf").cast("double")
     raw = tf.join(v.select("term", "idf"), "term").withColumn("w", tfc * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
@@ -149,6 +173,6 @@ def fit_transform(corpus_parts: list[tuple[DataFrame, str, str]], ngram_max: int
     # transform reads it instead of re-deriving it from the corpus
     vocab = vocab.checkpoint(eager=True) if materialize else vocab
     # the inner join on term drops the NULL marker rows
-    weights = [weigh(tfp, vocab, idc, sublinear, bounded_vocab=bool(max_features))
+    weights = [weigh(tfp, vocab, idc, sublinear)
                for tfp, (_, idc, _) in zip(tfs, corpus_parts)]
     return vocab, weights

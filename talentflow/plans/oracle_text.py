@@ -65,14 +65,20 @@ wn AS (SELECT side, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY side, id))
 
 
 def topk_sql(left: str, right: str, lid: str, rid: str, k: int = P.TOP_K) -> str:
-    """CTEs ``pairs, topk`` (needs ``wn``)."""
-    return f"""pairs AS (
-  SELECT l.id AS {lid}, r.id AS {rid}, round(sum(l.w * r.w), 6) AS text_similarity
+    """CTEs ``pairs, topk`` (needs ``corpus``, ``wn``): every left text has k rows, or as many as
+    there are right texts; a pair that shares no term has similarity 0."""
+    return f"""shared AS (
+  SELECT l.id AS {lid}, r.id AS {rid}, round(sum(l.w * r.w), 12) AS s
   FROM wn l JOIN wn r ON l.term = r.term AND l.side = {sql_str(left)} AND r.side = {sql_str(right)}
   GROUP BY l.id, r.id),
+pairs AS (
+  SELECT a.id AS {lid}, b.id AS {rid}, coalesce(s, 0) AS s
+  FROM (SELECT DISTINCT id FROM corpus WHERE side = {sql_str(left)}) a
+  CROSS JOIN (SELECT DISTINCT id FROM corpus WHERE side = {sql_str(right)}) b
+  LEFT JOIN shared ON shared.{lid} = a.id AND shared.{rid} = b.id),
 topk AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {lid}
-                 ORDER BY text_similarity DESC, {rid}) AS text_rank FROM pairs) x
+  SELECT {lid}, {rid}, s AS text_similarity, text_rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY {lid} ORDER BY s DESC, {rid}) AS text_rank FROM pairs) x
   WHERE text_rank <= {k})"""
 
 
@@ -83,12 +89,11 @@ def dict_sql(text: str, patterns: dict[str, str]) -> str:
     return f"coalesce(list_sort(list_filter([{hits}], lambda x: x IS NOT NULL)), []::VARCHAR[])"
 
 
-def block_pairs_sql(src: str, idc: str, txt: str, blk: str, thr: float = P.SEMANTIC_THRESHOLD,
-                    max_block: int = P.SEMANTIC_MAX_BLOCK) -> str:
+def block_pairs_sql(src: str, idc: str, txt: str, blk: str, thr: float = P.SEMANTIC_THRESHOLD) -> str:
     """CTEs ``bd .. bpairs``: brute-force per-block TF-IDF cosine pairs >= thr."""
     return f"""bd AS (SELECT {idc} AS id, {blk} AS blk, {txt} AS text FROM {src}
         WHERE {txt} IS NOT NULL AND {blk} IS NOT NULL),
-bsz AS (SELECT blk, count(*) AS n FROM bd GROUP BY blk HAVING count(*) BETWEEN 2 AND {max_block}),
+bsz AS (SELECT blk, count(*) AS n FROM bd GROUP BY blk HAVING count(*) >= 2),
 btoks AS (SELECT bd.id, bd.blk, bsz.n, {tokens_sql('bd.text')} AS t FROM bd JOIN bsz USING (blk)),
 bterms AS (SELECT id, blk, n, unnest({ngrams_sql('t')}) AS term FROM btoks),
 btf AS (SELECT id, blk, n, term, count(*) AS tf FROM bterms GROUP BY id, blk, n, term),

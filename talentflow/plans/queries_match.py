@@ -54,10 +54,11 @@ def tfidf_vocabulary(spark, d):
 
 @query("match_topk", f"""WITH {tfidf_corpus_sql(CORPUS)},
 {topk_sql('d', 'b', 'doc_id', 'item_id')}
-SELECT doc_id, item_id, text_similarity, text_rank FROM topk""")
+SELECT doc_id, item_id, round(text_similarity, 6) AS text_similarity, text_rank FROM topk""")
 def match_topk(spark, d):
     _, (dw, bw) = _weights(spark, d)
-    return MT.cosine_topk(dw, bw, "doc_id", "item_id", P.TOP_K)
+    top = MT.cosine_topk(dw, bw, "doc_id", "item_id", P.TOP_K, _docs(spark, d), _bench(spark, d))
+    return top.withColumn("text_similarity", F.round("text_similarity", 6))
 
 
 HYBRID_SQL = f"""WITH {tfidf_corpus_sql(CORPUS)},
@@ -96,9 +97,9 @@ def _hybrid(spark, d):
                            WORD_PATTERNS, k=P.TOP_K, unicode=False)
 
 
-@query("hybrid_match", HYBRID_SQL + "\nSELECT * FROM hm")
+@query("hybrid_match", HYBRID_SQL + "\nSELECT * REPLACE (round(text_similarity, 6) AS text_similarity) FROM hm")
 def hybrid_match(spark, d):
-    return _hybrid(spark, d)
+    return _hybrid(spark, d).withColumn("text_similarity", F.round("text_similarity", 6))
 
 
 @query("best_match", HYBRID_SQL + """
@@ -134,11 +135,14 @@ def display_view(spark, d):
 
 
 @query("candidates_for_item", f"""WITH {tfidf_corpus_sql(CORPUS)},
-jobs_req AS (SELECT item_id FROM benchmark WHERE text IS NOT NULL),
+shared AS (
+  SELECT l.id AS doc_id, r.id AS item_id, round(sum(l.w * r.w), 12) AS s
+  FROM wn l JOIN wn r ON l.term = r.term AND l.side = 'd' AND r.side = 'b' GROUP BY l.id, r.id),
 pairs AS (
-  SELECT l.id AS doc_id, r.id AS item_id, round(sum(l.w * r.w), 6) AS text_similarity
-  FROM wn l JOIN wn r ON l.term = r.term AND l.side = 'd' AND r.side = 'b'
-  WHERE r.id IN (SELECT item_id FROM jobs_req) GROUP BY l.id, r.id),
+  SELECT a.doc_id, b.item_id, coalesce(s, 0) AS text_similarity
+  FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) a
+  CROSS JOIN (SELECT item_id FROM benchmark WHERE text IS NOT NULL) b
+  LEFT JOIN shared ON shared.doc_id = a.doc_id AND shared.item_id = b.item_id),
 short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id
             ORDER BY text_similarity DESC, doc_id) AS s FROM pairs) x WHERE s <= 15),
 dsk AS (SELECT doc_id, {dict_sql('text', WORD_PATTERNS)} AS rs FROM documents WHERE text IS NOT NULL),
@@ -191,21 +195,29 @@ def dedup_partial(spark, d):
     return DD.dedup_keys(o, PARTIAL_KEYS, "o_orderkey")
 
 
-@query("semantic_dups", f"WITH {block_pairs_sql('documents', 'doc_id', 'text', 'source')}\n"
-                        "SELECT * FROM bpairs")
-def semantic_dups(spark, d):
+DISTINCT_SQL = """dx AS (
+  SELECT * FROM documents WHERE text IS NULL
+     OR doc_id IN (SELECT min(doc_id) FROM documents WHERE text IS NOT NULL GROUP BY text))"""
+
+
+def _distinct_docs(spark, d):
     docs = io.read_table(spark, d, "documents").select("doc_id", "text", "source")
-    return DD.near_duplicate_pairs(docs, "doc_id", "text", "source", "doc_id", unicode=False)
+    return DD.dedup_exact(docs, "text", "doc_id")
 
 
-@query("semantic_dedup", f"""WITH dx AS (
-  SELECT * FROM documents WHERE text IS NULL
-     OR doc_id IN (SELECT min(doc_id) FROM documents WHERE text IS NOT NULL GROUP BY text)),
+@query("semantic_dups", f"""WITH {DISTINCT_SQL},
+{block_pairs_sql('dx', 'doc_id', 'text', 'source')}
+SELECT * FROM bpairs""")
+def semantic_dups(spark, d):
+    """J3 on what exact deduplication leaves, as the pipeline runs it."""
+    return DD.near_duplicate_pairs(_distinct_docs(spark, d), "doc_id", "text", "source", "doc_id", unicode=False)
+
+
+@query("semantic_dedup", f"""WITH {DISTINCT_SQL},
 {block_pairs_sql('dx', 'doc_id', 'text', 'source')}
 SELECT doc_id, source FROM dx WHERE doc_id NOT IN (SELECT duplicate_id FROM bpairs)""")
 def semantic_dedup(spark, d):
-    docs = io.read_table(spark, d, "documents").select("doc_id", "text", "source")
-    exact = DD.dedup_exact(docs, "text", "doc_id")
+    exact = _distinct_docs(spark, d)
     pairs = DD.near_duplicate_pairs(exact, "doc_id", "text", "source", "doc_id", unicode=False)
     return DD.drop_duplicate_ids(exact, pairs, "doc_id").select("doc_id", "source")
 

@@ -164,6 +164,7 @@ def feature_table(spark, d):
             .withColumn("n_missing_skills", X.safe_size("missing_skills"))
             .withColumn("combined_text", TX.concat_text("resume_text", "job_text")))
     from talentflow.functions.coerce import median_impute, zero_fill
+    df = cut_lineage(df)  # read several times by the median
     df = median_impute(df, "years_experience", known_flag="has_experience_info")
     df = zero_fill(df.withColumns({c: F.col(c).cast("double") for c in P.NUM_FEATURES}), P.NUM_FEATURES)
     return df.drop("resume_text", "job_text", "matching_skills", "missing_skills")
@@ -268,7 +269,7 @@ def batch_score(spark, d):
     model.write().overwrite().save(path)
     model = PipelineModel.load(path)
     from talentflow.plans.queries_match import _hybrid
-    pairs = _hybrid(spark, d).filter(F.col("rank") == 1).select("doc_id", "item_id")
+    pairs = _hybrid(spark, d).select("doc_id", "item_id")
     docs = io.read_table(spark, d, "documents").select("doc_id", F.col("text").alias("resume_text"))
     bench = io.read_table(spark, d, "benchmark").select("item_id", F.col("text").alias("jd_text"))
     pats = P.all_upload_skill_patterns()
@@ -296,9 +297,7 @@ def batch_score(spark, d):
 
 def _svd_split(spark, d):
     train, test = _split(spark, d)
-    # stable long row ids on the checkpointed feature table
-    train = train.withColumn("pair_id", F.col("doc_id") * 1000003 + F.col("item_id"))
-    test = test.withColumn("pair_id", F.col("doc_id") * 1000003 + F.col("item_id"))
+    train, test = (x.withColumn("pair_id", F.struct("doc_id", "item_id")) for x in (train, test))
     s_tr, s_te, k = ML.svd_text_features(train.select("pair_id", "combined_text"),
                                          test.select("pair_id", "combined_text"),
                                          "pair_id", "combined_text", unicode=False)

@@ -52,9 +52,9 @@ def joined_unique(spark, d):
 
 
 @query("warehouse_restrict", W("""SELECT job_id, skill_name FROM job_skills
-WHERE job_id IN (SELECT job_id FROM matches WHERE match_rank = 1)""", "job_skills", "matches"))
+WHERE job_id IN (SELECT job_id FROM matches)""", "job_skills", "matches"))
 def warehouse_restrict(spark, d):
-    best = TB.matches(spark, d).filter(F.col("match_rank") == 1)
+    best = TB.matches(spark, d)
     js = TB.job_skills(spark, d)
     wh = io.build_warehouse(best, js, js, jobs=TB.jobs(spark, d))
     return wh["job_skills"]
@@ -63,7 +63,7 @@ def warehouse_restrict(spark, d):
 @query("slim_jobs", W("""WITH base AS (
   SELECT job_id, arg_min(job_title, match_rank * 100000000 + candidate_id) AS title,
          arg_min(company_name, match_rank * 100000000 + candidate_id) AS company_name
-  FROM matches WHERE match_rank <= 3 GROUP BY job_id),
+  FROM matches GROUP BY job_id),
 req AS (SELECT job_id, list_sort(list(DISTINCT skill_name)) AS required_skills FROM job_skills
         WHERE skill_name IS NOT NULL AND skill_name <> '' GROUP BY job_id)
 SELECT b.job_id, b.title, b.company_name, lower(coalesce(b.title, '')) AS title_clean,
@@ -80,7 +80,7 @@ SELECT b.job_id, b.title, b.company_name, lower(coalesce(b.title, '')) AS title_
        NULL::DOUBLE AS jd_completeness_score, NULL::DOUBLE AS job_quality_score
 FROM base b LEFT JOIN req r ON b.job_id = r.job_id""", "matches", "job_skills"))
 def slim_jobs(spark, d):
-    m = TB.matches(spark, d).filter(F.col("match_rank") <= 3)
+    m = TB.matches(spark, d)
     js = TB.job_skills(spark, d).withColumnRenamed("skill_name", "skill_clean")
     return io.slim_jobs(m, js)
 
@@ -188,8 +188,8 @@ def lookup_join(spark, d):
     c = io.read_table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
     n = io.read_table(spark, d, "nation")
     r = io.read_table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey")
-    out = RS.lookup(c, n, "n_nationkey", ["n_name", "n_regionkey"], bounded=True)
-    out = RS.lookup(out, r, "n_regionkey", ["r_name"], bounded=True)
+    out = RS.lookup(c, n, "n_nationkey", ["n_name", "n_regionkey"])
+    out = RS.lookup(out, r, "n_regionkey", ["r_name"])
     return out.select("c_custkey", "n_name", "r_name")
 
 

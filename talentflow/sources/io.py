@@ -168,8 +168,3 @@ def embedding_cache(vectors: DataFrame, id_col: str, vec_col: str, path: str | N
         out.write.mode("overwrite").parquet(path)
         out = vectors.sparkSession.read.parquet(path)
     return out
-
-
-def capped(df: DataFrame, limit: int = 200) -> DataFrame:
-    """Row-capped SELECT result."""
-    return df.limit(limit)

@@ -25,31 +25,25 @@ def test_flagship_rank_starts_at_one(spark):
     assert out.filter("text_similarity < 0 or text_similarity > 1.000001").count() == 0
 
 
-def test_cosine_pairs_same_result_for_every_join_strategy(spark):
-    from conftest import SF_SMALL
+def test_topk_is_complete(spark):
     from talentflow.operators import tfidf as TF
-    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    bench = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
-    _, (dw, bw) = TF.fit_transform([(docs, "doc_id", "text"), (bench, "item_id", "text")],
-                                   unicode=False)
-    n_bench = bw.count()
-    assert dw.count() > n_bench
-    runs = {
-        "broadcast_right": MT.cosine_pairs(dw, bw, "doc_id", "item_id"),
-        # right side above the bound, left side within it
-        "broadcast_left": MT.cosine_pairs(bw, dw, "item_id", "doc_id",
-                                          broadcast_max_rows=n_bench)
-                             .select("doc_id", "item_id", "text_similarity"),
-        "shuffle": MT.cosine_pairs(dw, bw, "doc_id", "item_id", broadcast_max_rows=None),
-    }
-    plans = {k: v._jdf.queryExecution().executedPlan().toString() for k, v in runs.items()}
-    assert "BroadcastHashJoin" in plans["broadcast_right"]
-    rows = {k: sorted(v.collect()) for k, v in runs.items()}
-    assert rows["shuffle"] and rows["broadcast_right"] == rows["shuffle"] == rows["broadcast_left"]
-
-
-def test_checked_small_bound(spark):
-    df = spark.range(10)
-    assert MT.checked_small(df, 10)[1] is True
-    assert MT.checked_small(df, 9)[1] is False
-    assert MT.checked_small(df, None) == (df, False)
+    left = spark.createDataFrame([(1, "alpha beta gamma"), (2, "nothing shared"), (3, None)], "doc_id long, text string")
+    right = spark.createDataFrame([(i, "alpha beta" if i == 30 else "gamma delta" if i == 7 else f"solo{i} words{i}")
+                                   for i in (30, 7, 5, 11, 2, 40)], "item_id long, text string")
+    _, (lw, rw) = TF.fit_transform([(left, "doc_id", "text"), (right, "item_id", "text")], min_df=1, max_df=1.0, unicode=False)
+    top = MT.cosine_topk(lw, rw, "doc_id", "item_id", 4, left, right)
+    got = {}
+    for r in top.orderBy("doc_id", "text_rank").collect():
+        got.setdefault(r.doc_id, []).append((r.item_id, r.text_similarity > 0))
+    assert got[1] == [(30, True), (7, True), (2, False), (5, False)]
+    assert got[2] == got[3] == [(2, False), (5, False), (7, False), (11, False)]
+    assert MT.cosine_topk(lw, rw, "doc_id", "item_id", 50, left, right).count() == 18
+
+
+def test_most_frequent_terms_by_histogram(spark):
+    from talentflow.operators import tfidf as TF
+    rows = [(f"t{i:03d}", 1, (i * 7919) % 23 + 1) for i in range(200)]
+    stats = spark.createDataFrame(rows, "term string, df long, total long")
+    order = sorted(rows, key=lambda r: (-r[2], r[0]))
+    for n in (1, 5, 8, 9, 50, 199, 200, 500):
+        assert {r.term for r in TF.most_frequent(stats, n).collect()} == {r[0] for r in order[:n]}

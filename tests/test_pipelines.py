@@ -15,11 +15,11 @@ def test_resume_pipeline_quarantine_and_dups(spark):
     raw = S(spark, ["ID", "Resume_str", "Category"], rows)
     kept, quar, audit = resume_pipeline(raw)
     k = {r.candidate_id: r for r in kept.collect()}
-    assert sorted(k) == ["1", "4"]
-    assert [r.candidate_id for r in quar.collect()] == ["3"]
-    assert k["1"].category_clean == "information_technology"
-    assert k["1"].years_experience == 5 and "python" in k["1"].extracted_skills
-    assert k["4"].years_experience is None and k["4"].highest_education == "bachelor"
+    assert sorted(k) == [1, 4]
+    assert [r.candidate_id for r in quar.collect()] == [3]
+    assert k[1].category_clean == "information_technology"
+    assert k[1].years_experience == 5 and "python" in k[1].extracted_skills
+    assert k[4].years_experience is None and k[4].highest_education == "bachelor"
     assert audit.first().dup_resumes_removed == 1
 
 
@@ -68,3 +68,30 @@ def test_job_pipeline_small_fixture(spark):
     ind = {r.job_id: r.industry_name for r in out["job_industries_resolved"].collect()}
     assert ind[12] == "unknown_industry_431"
     assert jm[12].description_clean == "Patient care & nursing shifts"
+
+
+def test_job_side_texts_lose_the_header(spark):
+    from talentflow.functions import text as TX
+    df = spark.createDataFrame([("Job description writer",)], "t string")
+    assert df.select(TX.norm_title("t", strip_header=True)).first()[0] == "writer"
+    assert df.select(TX.norm_title("t")).first()[0] == "job description writer"
+
+
+def test_lookup_takes_the_last_row_of_a_code(spark):
+    from talentflow.operators import resolve as RS
+    dim = spark.createDataFrame([("a", "first"), ("b", "only"), ("a", "last")], "code string, name string").coalesce(1)
+    got = RS.lookup(spark.createDataFrame([("a",), ("c",)], "code string"), dim, "code", ["name"]).collect()
+    assert {r.code: r.name for r in got} == {"a": "last", "c": None}
+
+
+def test_exact_median_by_ranges(spark):
+    import random
+    import statistics
+    from talentflow.functions import coerce as B
+    r = random.Random(1)
+    for values in ([], [3.0], [1.0, 2.0], [r.gauss(0, 1) ** 3 for _ in range(2001)], [1e9, -5.0, *[7.0] * 500], [0.25] * 64):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        want = statistics.median(values) if values else None
+        assert B.median(df, "v") == want
+        if values:
+            assert B.kth_value(df, "v", len(values) // 2, small=4, buckets=8) == sorted(values)[len(values) // 2]
