@@ -8,7 +8,7 @@ leaf's template if at least ``SIMILARITY`` of its tokens agree with it, and is a
 its own otherwise. Templates that recur in ``MIN_DOCS`` documents or more are dropped.
 
 Copies of a document make all of its lines recur without any of them being a template: a
-document whose recurring lines hold over 30 % of its tokens is not counted as a carrier
+document whose recurring lines hold more than half of its tokens is not counted as a carrier
 (equal texts count once in any case). Copies are left whole that way - they are the business
 of near-duplicate detection - and lose only lines which other documents carry too.
 
@@ -29,7 +29,7 @@ from talentflow.llm import kernel as K
 from talentflow.llm.store import bitmap, map_arrow, marked, materialise
 
 DEPTH, SIMILARITY, MIN_DOCS, MIN_TOKENS = 4, 0.75, 3, 3
-COPY_SHARE = 0.3
+COPY_SHARE = 0.5
 _FIELD = np.uint64(0x6A09E667F3BCC909)  # stands for a token that holds a digit
 
 

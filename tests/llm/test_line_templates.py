@@ -3,7 +3,8 @@ from talentflow.llm import queries as Q
 
 
 def _text(i, *lines):
-    return "\n".join([f"opening of document number{i} alpha{i}x beta{i}y", *lines, f"closing words q{i}z stand here alone z{i}z"])
+    return "\n".join([f"opening of document number{i} alpha{i}x beta{i}y", *lines, f"closing words q{i}z stand here alone z{i}z",
+                      " ".join(f"{i}{w}own" for w in "abcdefghijklmnopqrstuvwxyzabcdefgh")])
 
 
 def _run(spark, docs, **params):
@@ -20,7 +21,7 @@ def test_recurring_templates_are_dropped(spark):
     got = _run(spark, docs)
     for i, c in enumerate(letters):
         text, n = got[i]
-        assert n == 3 and text.count("\n") == 2
+        assert n == 3 and text.count("\n") == 3
         assert "rights" not in text and "Page" not in text and "fox" not in text and f"only{c}" in text
 
 
