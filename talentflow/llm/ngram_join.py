@@ -12,7 +12,8 @@ the exact sets.
 Scale: one scan builds the sketches; bands that hold one class only (most) are counted by
 their key and go no further; a crowded band is an ordinary equi-join key, which Spark splits
 when it is skewed. Sets are built again for the classes in surviving pairs only, and meet in
-blocks of bounded size, so that a class's set is moved once a block and not once a pair.
+blocks of bounded size, so that a class's set is moved once a block and not once a pair;
+their texts are picked out by a bitmap of fixed size on a scan and are never shuffled.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from talentflow.llm import kernel as K
 from talentflow.llm.graph import components
-from talentflow.llm.store import map_arrow, materialise, ship
+from talentflow.llm.store import bitmap, drop, map_arrow, marked, materialise, ship
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS = 128, 4
@@ -102,19 +103,23 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
+    """``cls, band, key``"""
     width = 4 * ROWS
     keys = [F.xxhash64(F.lit(i), F.substring(F.col("sig"), width * i + 1, width)) for i in range(HASHES // ROWS)]
-    return classes.withColumn("keys", F.array(*keys)).select("*", F.posexplode("keys").alias("band", "key"))
+    return classes.select("cls", F.posexplode(F.array(*keys)).alias("band", "key"))
 
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """``a, b`` (classes, a < b) that share a band and are not pruned."""
-    crowded = (_bands(classes).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
+    crowded = _bands(classes).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     crowded = materialise(crowded, "crowded-bands")
-    mates = materialise(_bands(classes).join(crowded, "key", "left_semi").select("cls").distinct(), "mates")
-    rows = materialise(_bands(classes.join(mates, "cls", "left_semi")).join(crowded, "key", "left_semi"), "band-rows")
+    shared = materialise(_bands(classes).join(crowded, "key", "left_semi"), "shared-bands")
+    rows = materialise(shared.join(classes, "cls"), "band-rows")
     x, y = rows.alias("x"), rows.alias("y")
-    earlier = F.arrays_overlap(F.expr("slice(x.keys, 1, x.band)"), F.expr("slice(y.keys, 1, y.band)"))
+    width = 4 * ROWS
+    earlier = (F.col("x.band") > 0) & F.expr(
+        f"exists(sequence(0, greatest(x.band - 1, 0)), i -> substring(x.sig, {width} * i + 1, {width}) = "
+        f"substring(y.sig, {width} * i + 1, {width}))")
     sized = (F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - F.lit(1e-9))
     pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & sized & ~earlier)
              .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.sig").alias("p"), F.col("y.sig").alias("q")))
@@ -132,7 +137,10 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, tolerance: floa
                 alive = alive[matches[alive] >= m]
             yield b.select([0, 1]).take(pa.array(alive))
 
-    return materialise(map_arrow(pairs, prune, "a binary, b binary"), "candidates")
+    kept = materialise(map_arrow(pairs, prune, "a binary, b binary"), "candidates")
+    drop(classes.sparkSession, rows.stored_at)
+    drop(classes.sparkSession, shared.stored_at)
+    return kept
 
 
 def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str,
@@ -150,18 +158,21 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, t
                          .join(block.select(F.col("x").alias("b"), F.col("block").alias("bb")), "b"), "placed-pairs")
     need = placed.select("ba", "bb", F.col("a").alias("cls")).union(placed.select("ba", "bb", "b")).distinct()
 
+    reps = classes.join(block.select(F.col("x").alias("cls")), "cls", "left_semi").select(F.xxhash64("rep").alias("h"))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(reps, "h"))
+
     def build(batches):
+        """Sets of the documents which the bitmap lets through; the join on the class's name
+        sorts out what is not asked for."""
         for b in batches:
-            for s in K.slices(b.column(1)):
-                want = b.column(0).slice(s.lo, s.rows).to_pylist()
-                got = [(c, x.tobytes()) for c, x in zip(want, _sets(s, k)) if len(x) and _name(x) == c]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.binary()),
-                                                  pa.array([x for _, x in got], pa.binary())], names=["cls", "grams"])
-
-    texts = (classes.join(block.select(F.col("x").alias("cls")), "cls", "left_semi").select("cls", F.col("rep").alias("__rep"))
-             .join(docs.select(id_col, F.col(text_col).cast("string").alias("__text")), F.col("__rep") == F.col(id_col))
-             .select("cls", "__text"))
-    sets = materialise(map_arrow(texts, build, "cls binary, grams binary"), "sets").dropDuplicates(["cls"])
+            ok = marked(wanted.value, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            for s in K.slices(b.column(1).filter(pa.array(ok))):
+                got = [x for x in _sets(s, k) if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in got], pa.binary()),
+                                                  pa.array([x.tobytes() for x in got], pa.binary())], names=["cls", "grams"])
+
+    texts = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).cast("string").alias("t"))
+    sets = map_arrow(texts, build, "cls binary, grams binary").dropDuplicates(["cls"])  # rows may repeat an id
 
     def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         grams = {c: np.frombuffer(g, np.uint64) for c, g in zip(right["cls"], right["grams"])}
