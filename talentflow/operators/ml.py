@@ -191,27 +191,6 @@ def with_params(est, params: dict):
     return est.copy({est.classifier: inner}) if isinstance(est, OneVsRest) else inner
 
 
-def grid_search(train: DataFrame, group: str, num_cols: list[str], name: str, grid: list[dict], k: int = 4,
-                extra_vec: list[str] | None = None, n_extra: int = 0) -> tuple[dict, DataFrame]:
-    """The parameters with the best mean macro-F1 over stratified group folds, and the
-    table ``params, fold, f1_macro, train_f1`` (one row per fit)."""
-    spark = train.sparkSession
-    folds = cut_lineage(stratified_group_folds(train, group, "suitability", k))
-    rows = []
-    for params in grid:
-        for f in range(k):
-            fit, held = folds.filter(F.col("fold") != f), folds.filter(F.col("fold") == f)
-            _, a, b = fit_and_score(fit, held, num_cols, name, extra_vec, n_extra, params)
-            got = [macro_metrics(x, "suitability", "predicted").first().f1_macro for x in (b, a)]
-            rows.append((str(sorted(params.items())), f, *[None if g is None else float(g) for g in got]))
-    table = spark.createDataFrame(rows, "params string, fold int, f1_macro double, train_f1 double")
-    mean = {}
-    for name_, _, f1, _ in rows:
-        mean.setdefault(name_, []).append(f1 or 0.0)
-    best = max(grid, key=lambda p: sum(mean[str(sorted(p.items()))]))
-    return best, table
-
-
 def generalisation_gap(train_pred: DataFrame, test_pred: DataFrame, y: str = "suitability") -> DataFrame:
     """Metrics on both splits and their F1 gap."""
     a = macro_metrics(train_pred, y, "predicted").select(F.col("f1_macro").alias("train_f1"),
@@ -256,15 +235,18 @@ def svd_text_features(train: DataFrame, test: DataFrame, id_col: str, text_col:
     The document-term rows become sparse vectors of an ``IndexedRowMatrix``
     (ids kept); ``computeSVD`` runs distributed (Gramian-vector products), and
     the projection is the JVM-side ``multiply`` by the local V, whose size is
-    bounded by ``max_features x k``. The id column must be a long.
+    bounded by ``max_features x k``. The matrix rows are numbered here, so the id may be
+    of any type.
     """
     from pyspark.mllib.linalg import Vectors as MV
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
     from talentflow.operators import tfidf
 
     spark = train.sparkSession
-    tf_tr = tfidf.term_counts(train, id_col, text_col, 2, unicode)
-    vocab = tfidf.fit_vocabulary(tf_tr, id_col, train.count(), P.TFIDF_MIN_DF, P.TFIDF_MAX_DF,
+    train, test = (cut_lineage(x.select(F.col(id_col).alias("__id"), text_col)
+                                .withColumn("__row", F.monotonically_increasing_id())) for x in (train, test))
+    tf_tr = tfidf.term_counts(train, "__row", text_col, 2, unicode)
+    vocab = tfidf.fit_vocabulary(tf_tr, "__row", train.count(), P.TFIDF_MIN_DF, P.TFIDF_MAX_DF,
                                  max_features)
     # term index over the bounded vocabulary (at most max_features rows)
     vidx = vocab.select("term", "idf", (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"))
@@ -273,9 +255,9 @@ def svd_text_features(train: DataFrame, test: DataFrame, id_col: str, text_col:
     kk = max(1, min(k, n_terms - 1))
 
     def rows(tf):
-        w = tfidf.weigh(tf, vidx, id_col)
-        g = (w.join(F.broadcast(vidx.select("term", "idx")), "term")
-              .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("e")))
+        w = tfidf.weigh(tf, vidx, "__row")
+        g = (w.join(vidx.select("term", "idx"), "term")
+              .groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("e")))
         vec = g.rdd.map(lambda r: (int(r[0]), MV.sparse(
             n_terms, [int(x[0]) for x in r[1]], [float(x[1]) for x in r[1]]))).toDF(["index", "vector"])
         # materialised once in the shared folder: the SVD iterations re-read it on the JVM side
@@ -284,10 +266,11 @@ def svd_text_features(train: DataFrame, test: DataFrame, id_col: str, text_col:
     svd = IndexedRowMatrix(rows(tf_tr)).computeSVD(kk, computeU=False)
     V = svd.V
 
-    def project(tf):
+    def project(tf, part):
         proj = IndexedRowMatrix(rows(tf)).multiply(V).rows
-        return spark.createDataFrame(proj.map(lambda r: (int(r.index), r.vector.toArray().tolist())),
-                                     f"{id_col} long, svd array<double>")
+        svd = spark.createDataFrame(proj.map(lambda r: (int(r.index), r.vector.toArray().tolist())),
+                                    "__row long, svd array<double>")
+        return cut_lineage(part.join(svd, "__row").select(F.col("__id").alias(id_col), "svd"))
 
-    tf_te = tfidf.term_counts(test, id_col, text_col, 2, unicode)
-    return project(tf_tr).checkpoint(eager=True), project(tf_te).checkpoint(eager=True), kk
+    tf_te = tfidf.term_counts(test, "__row", text_col, 2, unicode)
+    return project(tf_tr, train), project(tf_te, test), kk

@@ -112,12 +112,43 @@ def n09_top3_per_job(matches: DataFrame, n: int = 3) -> DataFrame:
                    .select("job_id", "candidate_id", "final_match_score", "suitability"))
 
 
-def n10_salary_quartile(jobs: DataFrame, part: str = "company_industry") -> DataFrame:
-    """NTILE(4) of salary inside each industry (ties by job id)."""
-    w = Window.partitionBy(part).orderBy(F.desc_nulls_last("normalized_salary_clean"), F.asc("job_id"))
-    return (jobs.filter(F.col("has_salary"))
-                .select("job_id", "title_clean", part, "normalized_salary_clean",
-                        F.ntile(4).over(w).alias("salary_quartile")))
+def rank_desc(df: DataFrame, part: str, value: str, tie: str, out: str = "__rank", total: str = "__n",
+              buckets: int = 1024) -> DataFrame:
+    """Exact rank (1 = largest ``value``, NULLs last, ties by ``tie``) inside ``part``, and the
+    number of its rows, without sorting a part in one task.
+
+    The part's value range is cut into equal buckets; a table of bucket counts (at most
+    ``buckets`` + 1 rows per part) gives each bucket's offset, and a window ranks the rows of
+    one bucket.
+    """
+    v = F.col(value).cast("double")
+    span = df.groupBy(part).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+    share = F.try_divide(F.col("__hi") - v, F.col("__hi") - F.col("__lo"))
+    bucket = F.when(v.isNull(), F.lit(buckets)).otherwise(
+        F.coalesce(F.least(F.floor(share * buckets), F.lit(buckets - 1)), F.lit(0)).cast("int"))
+    same = F.col(f"a.{part}").eqNullSafe(F.col(f"b.{part}"))
+    x = df.alias("a").join(span.alias("b"), same).select("a.*", bucket.alias("__b"))
+    upto = Window.partitionBy(part).orderBy("__b")
+    counts = x.groupBy(part, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    counts = counts.select(part, "__b", F.coalesce(F.sum("__c").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
+                           F.sum("__c").over(Window.partitionBy(part)).alias(total))
+    inside = Window.partitionBy(part, "__b").orderBy(F.desc_nulls_last(value), F.asc(tie))
+    x = x.withColumn("__r", F.row_number().over(inside)).alias("a")
+    return (x.join(counts.alias("b"), same & (F.col("a.__b") == F.col("b.__b")))
+             .select("a.*", (F.col("__off") + F.col("__r")).alias(out), total).drop("__b", "__r"))
+
+
+def n10_salary_quartile(jobs: DataFrame, part: str = "company_industry", tiles: int = 4) -> DataFrame:
+    """Salary quartile inside each industry, best first (ties by job id): the first
+    ``n % 4`` tiles hold one row more."""
+    x = rank_desc(jobs.filter(F.col("has_salary")).select("job_id", "title_clean", part, "normalized_salary_clean"),
+                  part, "normalized_salary_clean", "job_id")
+    small = F.floor(F.col("__n") / tiles)
+    more = F.col("__n") % tiles
+    edge = more * (small + 1)
+    tile = F.when(F.col("__rank") <= edge, F.ceil(F.col("__rank") / (small + 1))) \
+        .otherwise(more + F.ceil(F.try_divide(F.col("__rank") - edge, small)))
+    return x.select("job_id", "title_clean", part, "normalized_salary_clean", tile.cast("int").alias("salary_quartile"))
 
 
 def n11_running_postings(jobs: DataFrame, ts: str = "listed_time_dt") -> DataFrame:
@@ -140,13 +171,14 @@ def n12_above_company_avg(jobs: DataFrame) -> DataFrame:
 
 
 def n13_score_gap(matches: DataFrame, max_rank: int = 2) -> DataFrame:
-    """% gap between a job's best and next score among top-``max_rank`` matches."""
-    w = Window.partitionBy("job_id").orderBy(F.desc("final_match_score"), F.asc("candidate_id"))
-    t = (matches.filter(F.col("match_rank") <= max_rank)
-                .withColumn("next_best_score", F.lead("final_match_score").over(w)))
+    """% gap between each match's score and the job's next best one, among top-``max_rank``
+    matches: ranks inside the job, then an equi-join of each rank with the next."""
+    t = rank_desc(matches.filter(F.col("match_rank") <= max_rank).select("job_id", "candidate_id", "final_match_score"),
+                  "job_id", "final_match_score", "candidate_id").drop("__n")
+    after = t.select("job_id", (F.col("__rank") - 1).alias("__rank"), F.col("final_match_score").alias("next_best_score"))
     gap = F.round(F.try_divide(F.col("final_match_score") - F.col("next_best_score"),
                                F.col("next_best_score")) * 100.0, 2)
-    return (t.filter(F.col("next_best_score").isNotNull())
+    return (t.join(after.filter(F.col("next_best_score").isNotNull()), ["job_id", "__rank"])
              .select("job_id", F.col("candidate_id").alias("top_candidate"), "final_match_score",
                      "next_best_score", gap.alias("score_gap_pct")))
 

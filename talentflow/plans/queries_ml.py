@@ -199,8 +199,9 @@ def train_embeddings(spark, d):
 
     Pairs (vec_id, next vec_id) take the left vector's label (mod 3) as class.
     """
-    emb = io.read_table(spark, d, "embeddings")
-    pairs = emb.select(F.col("vec_id").alias("left_id"), (F.col("vec_id") + 1).alias("right_id"),
+    table = io.read_table(spark, d, "embeddings")
+    emb = io.embedding_cache(table, "vec_id", "embedding", os.path.join(checkpoint_dir(spark), "embedding-cache"))
+    pairs = table.select(F.col("vec_id").alias("left_id"), (F.col("vec_id") + 1).alias("right_id"),
                        F.element_at(F.array(*[F.lit(x) for x in P.LABELS]),
                                     F.pmod("label", F.lit(3)) + 1).alias("suitability"))
     feats = ML.embedding_features(pairs, emb, "left_id", "right_id", "vec_id", "embedding")

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from talentflow.functions import coerce as B
 from talentflow.functions import extract as X
 from talentflow.functions import text as TX
+from talentflow.operators import matching as MT
 from talentflow.operators import profile as PR
 from talentflow.operators import resolve as RS
 from talentflow.plans import testbind as TB
 from talentflow.plans.catalog import query
 from talentflow.plans.oracle_views import with_views as W
+from talentflow.session import cut_lineage
 from talentflow.sources import io
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -357,10 +359,14 @@ UNION ALL SELECT 'lineitem.l_orderkey -> orders',
 UNION ALL SELECT 'jobs.company_id -> supplier',
   (SELECT count(*) FROM jobs WHERE company_id IS NULL OR company_id NOT IN (SELECT s_suppkey FROM supplier))
 UNION ALL SELECT 'matches.job_title not null',
-  (SELECT count(*) FROM matches WHERE job_title IS NULL)""", "jobs", "matches"))
+  (SELECT count(*) FROM matches WHERE job_title IS NULL)
+UNION ALL SELECT 'even and odd orders share a customer',
+  (SELECT count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0
+                         INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1) x WHERE o_custkey IS NOT NULL)""",
+                         "jobs", "matches"))
 def key_checks(spark, d):
     """K4 + K8: uniqueness, rank-starts-at-1, foreign keys, non-null; one count per check."""
-    jobs, m = TB.jobs(spark, d), TB.matches(spark, d)
+    jobs, m = cut_lineage(TB.jobs(spark, d)), cut_lineage(TB.matches(spark, d))  # each read by several checks
     li, o = io.read_table(spark, d, "lineitem"), io.read_table(spark, d, "orders")
     sup = io.read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("company_id"))
     checks = {
@@ -371,6 +377,8 @@ def key_checks(spark, d):
             li.select("l_orderkey"), o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey"),
         "jobs.company_id -> supplier": PR.fk_violations(jobs.select("company_id"), sup, "company_id"),
         "matches.job_title not null": PR.nonnull_violations(m, ["job_title"], "candidate_id"),
+        "even and odd orders share a customer": PR.disjoint_violations(
+            o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), "o_custkey"),
     }
     parts = [v.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(k).alias("check_name"), "violations")
              for k, v in checks.items()]
@@ -409,3 +417,21 @@ def completeness_scores(spark, d):
                     .alias("resume_completeness_score"),
                     PR.jd_completeness("words").alias("jd_completeness_score"),
                     PR.job_quality(PR.jd_completeness("words"), "skill_count").alias("job_quality_score"))
+
+
+@query("column_rules", """SELECT o_orderkey AS order_id, o_custkey AS customer, o_orderstatus AS status FROM orders
+WHERE o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL AND nullif(trim(o_orderstatus), '') IS NOT NULL""")
+def column_rules(spark, d):
+    """B5-B7 + B16: drop rows with a null key and rows without text, drop columns, project with new names."""
+    o = B.drop_null_keys(io.read_table(spark, d, "orders"), ["o_custkey", "o_orderstatus"])
+    o = B.drop_columns(o.filter(B.has_text(F.nullif(F.trim("o_orderstatus"), F.lit("")))), ["o_totalprice", "no_such_column"])
+    return B.project(o, {"o_orderkey": "order_id", "o_custkey": "customer", "o_orderstatus": "status"})
+
+
+@query("stored_matches", W("""SELECT candidate_id, job_id, match_rank AS rank, final_match_score FROM matches
+WHERE match_rank <= 10 AND candidate_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""", "matches"))
+def stored_matches(spark, d):
+    """The ten best stored matches of the requested candidates (customers with a finished order)."""
+    asked = io.read_table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("candidate_id"))
+    m = MT.jobs_for_candidate(TB.matches(spark, d).withColumnRenamed("match_rank", "rank"), asked)
+    return m.select("candidate_id", "job_id", "rank", "final_match_score")

@@ -43,6 +43,22 @@ def read_csv_tables(spark: SparkSession, root: str, tables: dict[str, T.StructTy
     return {rel: read_csv(spark, os.path.join(root, rel), s) for rel, s in tables.items()}
 
 
+def discover_csv(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """A1: all CSV files below a root, through the file system of the path: ``{relative path
+    without .csv: table}``, all columns read as strings by the file's header."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.getFileStatus(top).getPath().toString().rstrip("/") + "/"
+    files, out = fs.listFiles(top, True), {}
+    while files.hasNext():
+        path = files.next().getPath().toString()
+        if path.endswith(".csv"):
+            out[path.removeprefix(base)[:-4]] = (spark.read.option("header", True).option("multiLine", True)
+                                                 .option("escape", '"').csv(path))
+    return dict(sorted(out.items()))
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """A1/A10: ``(table, n_rows)`` as one union of per-table counts."""
     parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table"), "n_rows")

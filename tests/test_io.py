@@ -49,3 +49,18 @@ def test_lsh_pairs_are_verified(spark):
     w = TF.weigh(tf, TF.fit_vocabulary(tf, "id", 3, 1, 1.0, None), "id")
     pairs = {(r.a, r.b): r.similarity for r in DD.lsh_pairs(w, "id", threshold=0.5).collect()}
     assert set(pairs) == {(0, 1)} and 0.5 <= pairs[(0, 1)] < 1
+
+
+def test_discover_csv_and_row_counts(spark, tmp_path):
+    (tmp_path / "jobs").mkdir()
+    (tmp_path / "postings.csv").write_text('job_id,title\n1,"two\nlines"\n2,x\n')
+    (tmp_path / "jobs" / "skills.csv").write_text("job_id,skill\n1,a\n")
+    (tmp_path / "notes.txt").write_text("no table")
+    t = io.discover_csv(spark, str(tmp_path))
+    assert list(t) == ["jobs/skills", "postings"]
+    assert {r.table: r.n_rows for r in io.row_counts(t).collect()} == {"jobs/skills": 1, "postings": 2}
+
+
+def test_write_report(spark, tmp_path):
+    io.write_report(spark.createDataFrame([(1, 0.5)], "n int, f1 double"), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).first().f1 == 0.5
