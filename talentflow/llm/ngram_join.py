@@ -3,17 +3,17 @@
 A document's set is its runs of five words (as in ``decontaminate``; a text with fewer
 words, but not none, is one run). Documents with the same set form a class; classes are
 joined, copies never are. 128 MinHash values a class make 32 bands of four; classes that
-share a band are candidates (a pair at the threshold is missed with probability 5e-8), each
-pair in its first common band only. MinHash values of a candidate are compared 16 at a time:
+share a band are candidates (a pair at the threshold is missed with probability 5e-8). MinHash values of a candidate are compared 16 at a time:
 with a uniform prior the posterior of ``P(similarity >= t)`` after m matches of n is
 ``P(Bin(n + 1, t) <= m)``; a pair below the tolerance is dropped. The rest is verified on
 the exact sets.
 
 Scale: one scan builds the sketches; bands that hold one class only (most) are counted by
-their key and go no further; a crowded band is an ordinary equi-join key, which Spark splits
-when it is skewed. Sets are built again for the classes in surviving pairs only, and meet in
-blocks of bounded size, so that a class's set is moved once a block and not once a pair;
-their texts are picked out by a bitmap of fixed size on a scan and are never shuffled.
+their key and go no further. Classes that share bands are put into blocks of bounded size, and
+meet block by block; a task returns, per class, the number of links it saw and the smallest id
+that they reach - never pairs, so that a group of n similar texts costs n rows a block. Sets
+are built again for the classes in blocks only: a bitmap of fixed size picks their texts on a
+scan, and texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 
 from talentflow.llm import kernel as K
 from talentflow.llm.graph import components
-from talentflow.llm.store import bitmap, drop, map_arrow, marked, materialise, ship
+from talentflow.llm.store import bitmap, map_arrow, marked, materialise, ship
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS = 128, 4
 ROUND, TOLERANCE = 16, 1e-7
-BLOCK = 96
+BLOCK, BLOCK_RUNS = 512, 400_000
 _A = K.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = K.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -109,63 +109,80 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("cls", F.posexplode(F.array(*keys)).alias("band", "key"))
 
 
-def candidates(classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """``a, b`` (classes, a < b) that share a band and are not pruned."""
-    crowded = _bands(classes).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+def _blocks(classes: DataFrame) -> DataFrame:
+    """``lo, hi, cls``: the block pairs in which each class has to be, so that any two classes
+    that share a band meet in exactly one of them (``lo`` and ``hi`` are their blocks).
+
+    A class's lead is the smallest class that it shares a band with; classes of one lead lie in
+    one block, or in several if they exceed ``BLOCK`` classes or ``BLOCK_RUNS`` runs. Classes
+    that share no band with another are left out."""
+    crowded = (_bands(classes).groupBy("key").agg(F.count("*").alias("c"), F.min("cls").alias("first"))
+               .filter("c > 1").select("key", "first"))
     crowded = materialise(crowded, "crowded-bands")
-    shared = materialise(_bands(classes).join(crowded, "key", "left_semi"), "shared-bands")
-    rows = materialise(shared.join(classes, "cls"), "band-rows")
-    x, y = rows.alias("x"), rows.alias("y")
-    width = 4 * ROWS
-    earlier = (F.col("x.band") > 0) & F.expr(
-        f"exists(sequence(0, greatest(x.band - 1, 0)), i -> substring(x.sig, {width} * i + 1, {width}) = "
-        f"substring(y.sig, {width} * i + 1, {width}))")
-    sized = (F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - F.lit(1e-9))
-    pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & sized & ~earlier)
-             .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.sig").alias("p"), F.col("y.sig").alias("q")))
-    least = least_matches(threshold, tolerance)
-
-    def prune(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            p, q = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, HASHES) for i in (2, 3))
-            alive, matches = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for i, m in enumerate(least):
-                part = slice(i * ROUND, (i + 1) * ROUND)
-                matches[alive] += (p[alive, part] == q[alive, part]).sum(axis=1)
-                alive = alive[matches[alive] >= m]
-            yield b.select([0, 1]).take(pa.array(alive))
-
-    kept = materialise(map_arrow(pairs, prune, "a binary, b binary"), "candidates")
-    drop(classes.sparkSession, rows.stored_at)
-    drop(classes.sparkSession, shared.stored_at)
-    return kept
-
-
-def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str,
-           k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs whose exact similarity reaches the threshold: ``a, b, jaccard``."""
-    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    ends = ends.union(ends.select("y", "x")).groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("lead"))
-    ends = materialise(ends, "ends")
-    many = ends.groupBy("lead").agg(F.count("*").alias("c"))
-    few = max(1, ends.count() // BLOCK)
-    place = F.when(F.col("c") > BLOCK, F.xxhash64("lead", F.pmod(F.xxhash64("x"), F.ceil(F.col("c") / BLOCK)))) \
+    shared = materialise(_bands(classes).join(crowded, "key").select("key", "cls", "first"), "shared-bands")
+    lead = shared.groupBy("cls").agg(F.min("first").alias("lead")).join(classes.select("cls", "n"), "cls")
+    lead = materialise(lead, "leads")
+    sums = lead.agg(F.count("*").alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    few = int(max(1, sums.c // BLOCK, sums.n // BLOCK_RUNS))
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_RUNS)).cast("int")
+    of_lead = lead.groupBy("lead").agg(parts.alias("parts"))
+    block = F.when(F.col("parts") > 1, F.xxhash64("lead", F.pmod(F.xxhash64("cls"), F.col("parts")))) \
         .otherwise(F.pmod(F.xxhash64("lead"), F.lit(few)))
-    block = materialise(ends.join(many, "lead").select("x", place.alias("block")), "blocks")
-    placed = materialise(pairs.join(block.select(F.col("x").alias("a"), F.col("block").alias("ba")), "a")
-                         .join(block.select(F.col("x").alias("b"), F.col("block").alias("bb")), "b"), "placed-pairs")
-    need = placed.select("ba", "bb", F.col("a").alias("cls")).union(placed.select("ba", "bb", "b")).distinct()
-
-    reps = classes.join(block.select(F.col("x").alias("cls")), "cls", "left_semi").select(F.xxhash64("rep").alias("h"))
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(reps, "h"))
+    placed = materialise(shared.join(lead.join(of_lead, "lead").select("cls", block.alias("block")), "cls")
+                         .select("key", "cls", "block"), "placed")
+    of_key = placed.select("key", F.col("block").alias("other")).distinct()
+    pairs = placed.join(of_key, "key").select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cls", "block")
+    return materialise(pairs.distinct(), "block-members")
+
+
+def _pairs(t: pd.DataFrame, lo, hi, width: int, least: list[int], threshold: float):
+    """Linked rows ``(a, b, similarity)`` of a block pair: every two rows (of the two blocks, or
+    of the one) that share a band, are not pruned, and whose sets are similar enough."""
+    sig = np.frombuffer(b"".join(t["sig"]), np.uint32).reshape(len(t), HASHES)
+    bands = np.ascontiguousarray(sig).view(np.dtype((np.void, width))).reshape(len(t), -1)
+    bands = np.stack([np.unique(bands[:, i], return_inverse=True)[1] for i in range(bands.shape[1])], axis=1)
+    sets = [np.frombuffer(g, np.uint64) for g in t["grams"]]
+    n = t["n"].to_numpy()
+    _, runs = np.unique(np.concatenate(sets), return_inverse=True)
+    edge = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    block = t["block"].to_numpy()
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    mark = np.zeros(len(runs), bool)
+    for a in left:
+        b = right[right > a] if lo == hi else right
+        b = b[(bands[b] == bands[a]).any(axis=1) & (np.minimum(n[b], n[a]) >= threshold * np.maximum(n[b], n[a]) - 1e-9)]
+        matches = np.zeros(len(b), np.int64)
+        for i, m in enumerate(least):
+            if not len(b):
+                break
+            part = slice(i * ROUND, (i + 1) * ROUND)
+            matches = matches + (sig[b, part] == sig[a, part]).sum(axis=1)
+            b, matches = b[matches >= m], matches[matches >= m]
+        if not len(b):
+            continue
+        mark[runs[edge[a]:edge[a + 1]]] = True
+        both = np.array([np.count_nonzero(mark[runs[edge[x]:edge[x + 1]]]) for x in b])
+        mark[runs[edge[a]:edge[a + 1]]] = False
+        j = both / (n[a] + n[b] - both)
+        ok = j >= threshold
+        yield a, b[ok], j[ok]
+
+
+def _join(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, threshold: float,
+          tolerance: float, pairs: bool) -> DataFrame:
+    """Run every block pair. ``pairs``: the links ``a, b, jaccard`` between class ids; else, per
+    class and block pair, ``rep, links`` (documents linked there) and ``root`` (the smallest id
+    that these links reach)."""
+    classes = classes.filter("rep IS NOT NULL")
+    members = _blocks(classes.select("cls", "n", "sig"))
+    wanted = members.select("cls").distinct().join(classes, "cls")
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("rep").alias("h")), "h"))
 
     def build(batches):
         """Sets of the documents which the bitmap lets through; the join on the class's name
         sorts out what is not asked for."""
         for b in batches:
-            ok = marked(wanted.value, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            ok = marked(held.value, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             for s in K.slices(b.column(1).filter(pa.array(ok))):
                 got = [x for x in _sets(s, k) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in got], pa.binary()),
@@ -173,60 +190,80 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, t
 
     texts = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).cast("string").alias("t"))
     sets = map_arrow(texts, build, "cls binary, grams binary").dropDuplicates(["cls"])  # rows may repeat an id
-
-    def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        grams = {c: np.frombuffer(g, np.uint64) for c, g in zip(right["cls"], right["grams"])}
-        out = []
-        for a, b in zip(left["a"], left["b"]):
-            x, y = grams[a], grams[b]
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            j = both / (len(x) + len(y) - both)
-            if j >= threshold:
-                out.append((a, b, j))
-        return pd.DataFrame(out, columns=["a", "b", "jaccard"])
+    full = materialise(wanted.join(sets, "cls"), "class-sets")
+    rows = members.join(full, "cls").select("lo", "hi", "block", "rep", "copies", "n", "sig", "grams")
+    least, width = least_matches(threshold, tolerance), 4 * ROWS
+    kind = classes.schema["rep"].dataType.simpleString()
+
+    def run(key, t):
+        t = t.sort_values("rep", ignore_index=True)
+        rep, copies = t["rep"].to_numpy(), t["copies"].to_numpy()
+        found = list(_pairs(t, key[0], key[1], width, least, threshold))
+        if pairs:
+            out = [(rep[a], rep[x], y) for a, b, j in found for x, y in zip(b, j)]
+            return pd.DataFrame(out, columns=["a", "b", "jaccard"])
+        links, root = np.zeros(len(t), np.int64), np.arange(len(t))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+        for a, b, _ in found:
+            links[a] += copies[b].sum()
+            links[b] += copies[a]
+            for x in b:
+                p, q = find(a), find(x)
+                root[max(p, q)] = min(p, q)  # rows are in order of their id
+        seen = np.flatnonzero(links)
+        return pd.DataFrame({"rep": rep[seen], "links": links[seen], "root": rep[[find(x) for x in seen]]})
 
     ship(docs.sparkSession)
-    held = need.join(sets, "cls").select(F.col("ba").alias("ga"), F.col("bb").alias("gb"), "cls", "grams")
-    return materialise(placed.groupBy("ba", "bb").cogroup(held.groupBy("ga", "gb"))
-                       .applyInPandas(check, "a binary, b binary, jaccard double"), "links")
+    schema = f"a {kind}, b {kind}, jaccard double" if pairs else f"rep {kind}, links long, root {kind}"
+    return rows.groupBy("lo", "hi").applyInPandas(run, schema)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and one row per distinct set: ``cls, rep, copies, n, sig``."""
+    seen = materialise(sketches(docs, id_col, text_col, k), "sketches")
+    classes = seen.filter("cls IS NOT NULL").groupBy("cls").agg(
+        F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    return seen, materialise(classes, "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
-                    threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """``(documents, links)``.
-
-    ``documents``: one row per input row with ``doc``, ``class_id`` (smallest id with the
-    same set of runs), ``n_links`` (other documents linked, its class's others included),
-    ``component_id`` (smallest id reachable by links) and ``kept`` (``doc = component_id``).
-    ``links``: ``a, b, jaccard`` between class ids. Null texts and texts without words link
-    with nothing and are kept; rows that repeat an id are the same document; other columns
-    are not read.
+                    threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row per input row: ``doc``, ``class_id`` (smallest id with the same set of runs),
+    ``n_links`` (other documents linked, its class's others included), ``component_id``
+    (smallest id reachable by links) and ``kept`` (``doc = component_id``).
+
+    Null texts, texts without words and sets that only rows without an id have link with
+    nothing but their copies; texts without words are kept; rows that repeat an id are the same
+    document; other columns are not read.
     """
-    seen = materialise(sketches(docs, id_col, text_col, k), "sketches")
-    classes = materialise(seen.filter("cls IS NOT NULL").groupBy("cls").agg(
-        F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")),
-        "classes")
-    pairs = candidates(classes.select("cls", "n", "sig"), threshold)
-    links = verify(docs, classes, pairs, id_col, text_col, k, threshold)
-    small = classes.select("cls", "rep", "copies")
-    named = (links.join(small.select(F.col("cls").alias("a"), F.col("rep").alias("ra"), F.col("copies").alias("ca")), "a")
-             .join(small.select(F.col("cls").alias("b"), F.col("rep").alias("rb"), F.col("copies").alias("cb")), "b"))
-    named = materialise(named.select("ra", "ca", "rb", "cb", "jaccard"), "named-links")
-    degree = (named.select(F.col("ra").alias("rep"), F.col("cb").alias("c"))
-              .union(named.select("rb", "ca")).groupBy("rep").agg(F.sum("c").alias("linked")))
-    roots = components(named, "ra", "rb").withColumnRenamed("node", "rep")
-    info = (small.join(degree, "rep", "left").join(roots, "rep", "left")
+    seen, classes = _classes(docs, id_col, text_col, k)
+    seen_links = materialise(_join(docs, classes, id_col, text_col, k, threshold, tolerance, pairs=False), "links")
+    degree = seen_links.groupBy("rep").agg(F.sum("links").alias("linked"))
+    roots = components(seen_links, "rep", "root").withColumnRenamed("node", "rep")
+    info = (classes.select("cls", "rep", "copies").join(degree, "rep", "left").join(roots, "rep", "left")
             .select("cls", "rep", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"),
                     F.coalesce("component", "rep").alias("root")))
     out = seen.select("doc", "n", "cls").join(info, "cls", "left").select(
         "doc", F.coalesce("rep", "doc").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("root", "doc").alias("component_id"))
-    return (out.withColumn("kept", F.col("doc").eqNullSafe(F.col("component_id"))),
-            named.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "jaccard"))
+    return out.withColumn("kept", F.col("doc").eqNullSafe(F.col("component_id")))
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
+                  threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """The links themselves, ``a, b, jaccard`` between class ids: as many rows as there are links
+    between different sets. ``near_duplicates`` counts them without writing them out."""
+    _, classes = _classes(docs, id_col, text_col, k)
+    return _join(docs, classes, id_col, text_col, k, threshold, tolerance, pairs=True)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that another, kept one stands for; columns as they were."""
-    judged, _ = near_duplicates(docs, id_col, text_col)
+    judged = near_duplicates(docs, id_col, text_col)
     gone = judged.filter(~F.col("kept")).select(F.col("doc").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

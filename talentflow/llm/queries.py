@@ -65,7 +65,7 @@ def op4_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged, _ = ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+    judged = ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
     return judged.withColumnRenamed("doc", "doc_id")
 
 

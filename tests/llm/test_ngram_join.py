@@ -27,7 +27,7 @@ def test_least_matches_is_a_posterior_tail():
 def test_against_brute_force(spark):
     docs = _docs() + [(900, None), (901, ""), (902, "?!"), (903, "one two"), (904, "One, TWO"), (905, "word " * 60000)]
     df = spark.createDataFrame([(i, t, i, "x") for i, t in docs], "doc_id long, text string, class_id long, rep string")
-    judged, links = N.near_duplicates(df)
+    judged, links = N.near_duplicates(df), N.similar_pairs(df)
     want = near_duplicates(docs)
     rows = judged.collect()
     assert len(rows) == len(docs)
@@ -46,25 +46,27 @@ def test_against_brute_force(spark):
 
 def test_many_copies_make_no_pairs(spark):
     df = spark.range(3000).selectExpr("id AS doc_id", "'the very same text of seven words' AS text")
-    judged, links = N.near_duplicates(df)
+    judged, links = N.near_duplicates(df), N.similar_pairs(df)
     assert links.count() == 0
     assert {(r.n_links, r.component_id) for r in judged.collect()} == {(2999, 0)}
     assert N.drop_near_duplicates(df).count() == 1
 
 
-def test_a_large_group_of_near_copies_meets_in_blocks(spark):
+def test_a_large_group_of_near_copies_meet_in_blocks(spark, monkeypatch):
     base = [f"w{i}" for i in range(200)]
     docs = [(i, " ".join(base[:100] + [f"x{i}"] + base[101:])) for i in range(300)]   # more than BLOCK
-    judged, links = N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    monkeypatch.setattr(N, "BLOCK", 64)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    judged, links = N.near_duplicates(df), N.similar_pairs(df)
     assert {(r.n_links, r.component_id) for r in judged.collect()} == {(299, 0)}
     assert links.count() == 300 * 299 // 2
 
 
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(5, "a b c d e f g"), (5, "a b c d e f g"), (7, "A B C d e f g"), (None, "lone row")], "doc_id long, text string")
-    rows = N.near_duplicates(df)[0].collect()
+    rows = N.near_duplicates(df).collect()
     assert sorted((r.doc, r.n_links, r.component_id, r.kept) for r in rows if r.doc) == [(5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False)]
-    assert N.near_duplicates(df.limit(0))[0].count() == 0
+    assert N.near_duplicates(df.limit(0)).count() == 0
 
 
 def test_query(spark, table):
