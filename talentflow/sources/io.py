@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talentflow.functions.extract import pipe_to_set
+from talentflow.session import ship_package
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Parquet table ``<root>/<name>.parquet``."""
+    ship_package(spark)  # Python tasks on the table may need it
     return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
 
 
