@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from talentflow.llm import kernel as K
 from talentflow.llm.graph import components
-from talentflow.llm.store import bitmap, map_arrow, marked, materialise, ship
+from talentflow.llm.store import bitmap, map_arrow, marked, materialise
+from talentflow.session import ship_package
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS = 128, 4
@@ -218,7 +219,7 @@ def _join(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: in
         seen = np.flatnonzero(links)
         return pd.DataFrame({"rep": rep[seen], "links": links[seen], "root": rep[[find(x) for x in seen]]})
 
-    ship(docs.sparkSession)
+    ship_package(docs.sparkSession)
     schema = f"a {kind}, b {kind}, jaccard double" if pairs else f"rep {kind}, links long, root {kind}"
     return rows.groupBy("lo", "hi").applyInPandas(run, schema)
 

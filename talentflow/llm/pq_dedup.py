@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentflow.llm.graph import components
-from talentflow.llm.store import map_arrow, materialise, ship
+from talentflow.llm.store import map_arrow, materialise
+from talentflow.session import ship_package
 
 THRESHOLD = 0.9
 SAMPLE, MAX_LISTS, PROBES, SUBSPACES, CODES = 20_000, 4096, 8, 8, 256
@@ -190,7 +191,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         seen = np.unique(np.concatenate((ai, bi)))
         return pd.DataFrame({"rep": nodes[seen], "links": links[seen].astype(np.int64), "root": root[seen]})
 
-    ship(spark)
+    ship_package(spark)
     queries = right.select(*[F.col(c).alias(f"q_{c}") for c in ("lst", "i", "q", "rep", "copies", "vec", "home")])
     found = materialise(left.groupBy("lst", "i", "q").cogroup(queries.groupBy("q_lst", "q_i", "q_q"))
                         .applyInPandas(search, f"rep {kind}, links long, root {kind}"), "found")

@@ -8,45 +8,23 @@ loops drop their own tables as soon as the next round is written.
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentflow.session import checkpoint_dir
+from talentflow.session import checkpoint_dir, ship_package
 
 #: bits of a hash bitmap: 1 MB, whatever the size of what it marks
 BITMAP_BITS = 1 << 23
 
 _ROOTS: set[str] = set()
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors (once per application), so that tasks can
-    import it however the driver was started."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(tempfile.mkdtemp(), "talentflow_package.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for top, _, names in os.walk(here):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(top, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
-    spark.sparkContext.addPyFile(out)
-    _SHIPPED.add(app)
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` with the package at hand in the tasks."""
-    ship(df.sparkSession)
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
