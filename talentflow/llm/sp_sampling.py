@@ -28,10 +28,11 @@ from talentflow.llm import kernel as K
 from talentflow.llm.store import map_arrow
 
 ALPHA, BYTE_SCORE = 0.5, -14.0
-SLICE = 4 << 20
+SLICE = 1 << 19
 SHORT = 48          # longer pre-tokens are filtered one by one, in logarithms
 _MARK = "▁"
 _U = np.uint64
+_PREFIX = 1 << 21
 
 
 class Pieces:
@@ -68,6 +69,15 @@ class Pieces:
         self.near = np.zeros(1 << 20, bool)
         self.near[(h & _U((1 << 20) - 1)).astype(np.int64)] = True
         self.lengths = np.array(sorted({len(self.raw[i]) for i in ids}))
+        size, first = np.array([len(self.raw[i]) for i in ids]), np.concatenate(([0], ends[:-1]))
+        self.starts = np.zeros(_PREFIX, bool)                   # marks the hashes of all beginnings of pieces
+        pw, _ = K._powers()
+        sums = np.zeros(len(ids), _U)
+        for n in range(1, int(size.max()) + 1):
+            go = size >= n
+            size, first, sums = size[go], first[go], sums[go]
+            sums += K._BYTE[blob[first + n - 1]] * pw[n - 1]
+            self.starts[(_finish(sums, n) & _U(_PREFIX - 1)).astype(np.int64)] = True
         used = np.zeros(256, bool)
         used[blob] = True
         self.alone = ~used & (np.arange(256) < 128)             # ASCII bytes in no piece: always cut there
@@ -94,20 +104,24 @@ class Pieces:
         head[:-1] = (data & 0xC0) != 0x80
         head[ends] = True
         here = np.flatnonzero(head[at])
-        at_h, stop_h = at[here], stop[here]
-        a, b, p = [], [], []
-        for n in self.lengths:
-            ok = at_h + n <= stop_h
-            at_h, stop_h = at_h[ok], stop_h[ok]
-            if not len(at_h):
+        s, stop_h = at[here].astype(np.int32), stop[here].astype(np.int32)
+        pw, _ = K._powers()
+        sums, a, b, p = np.zeros(len(s), _U), [], [], []
+        for n in range(1, int(self.lengths[-1]) + 1):
+            go = s + n <= stop_h
+            s, stop_h, sums = s[go], stop_h[go], sums[go]
+            if not len(s):
                 break
-            s = at_h[head[at_h + n]]
-            if len(s):
-                got = self.find(_hash_any(data, s, s + n))
-                hit = got >= 0
-                a.append(s[hit])
-                b.append(s[hit] + n)
-                p.append(got[hit])
+            sums += K._BYTE[data[s + (n - 1)]] * pw[n - 1]
+            h = _finish(sums, n)
+            go = self.starts[(h & _U(_PREFIX - 1)).astype(np.int32)]      # places where some piece goes on
+            s, stop_h, sums, h = s[go], stop_h[go], sums[go], h[go]
+            whole = np.flatnonzero(head[s + n])
+            got = self.find(h[whole])
+            hit = got >= 0
+            a.append(s[whole[hit]])
+            b.append(a[-1] + np.int32(n))
+            p.append(got[hit].astype(np.int32))
         # characters that are no piece of their own go byte by byte
         char_end = np.append(np.flatnonzero(head[at])[1:], len(at))
         width = char_end - here
@@ -119,20 +133,15 @@ class Pieces:
             single[sa[first[sa] == sb - sa]] = True
         bare = np.repeat(~single[at[here]], width)
         x = at[bare]
-        a.append(x)
-        b.append(x + 1)
-        p.append(self.byte[data[x]])
+        a.append(x.astype(np.int32))
+        b.append((x + 1).astype(np.int32))
+        p.append(self.byte[data[x]].astype(np.int32))
         return np.concatenate(a), np.concatenate(b), np.concatenate(p)
 
 
-def _hash_any(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """``kernel.hash_spans`` for spans of one short length, which may overlap."""
-    pw, _ = K._powers()
-    n = int(e[0] - s[0])
-    h = np.zeros(len(s), _U)
-    for j in range(n):
-        h += K._BYTE[data[s + j]] * pw[j]
-    return K.mix(h + _U(n * 0xA24BAED4963EE407 & K.MASK64))
+def _finish(sums: np.ndarray, n: int) -> np.ndarray:
+    """The hash of spans of length ``n`` (as ``kernel.hash_spans``) from their weighted sums."""
+    return K.mix(sums + _U(n * 0xA24BAED4963EE407 & K.MASK64))
 
 
 def _uniform(seed: np.ndarray, word: np.ndarray, step: int) -> np.ndarray:
@@ -237,6 +246,7 @@ def sample(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: np.ndar
         at, back = short[at[order]], rank[back]
         first, last, frm, to, p, cum = _lattice(pieces, text, starts[at], ends[at])
         key = to + cum
+        del cum
         place = np.argsort(back.astype(np.int32), kind="stable")   # equal pre-tokens side by side
         occ, back = short[place], back[place]
         node, goal = last[back], first[back]
@@ -245,9 +255,9 @@ def sample(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: np.ndar
         while len(occ):
             e = np.searchsorted(key, node + _uniform(seed, word[occ], step), side="right")
             e = np.minimum(np.maximum(e, begin[node]), begin[node + 1] - 1)
-            seq_occ.append(occ)
-            seq_piece.append(p[e])
-            seq_step.append(np.full(len(occ), step))
+            seq_occ.append(occ.astype(np.int32))
+            seq_piece.append(p[e].astype(np.int32))
+            seq_step.append(np.full(len(occ), step, np.int32))
             node = frm[e]
             go = node != goal
             occ, node, goal, seed = occ[go], node[go], goal[go], seed[go]
