@@ -30,6 +30,8 @@ from talentflow.llm.store import bitmap, map_arrow, marked, materialise
 
 DEPTH, SIMILARITY, MIN_DOCS, MIN_TOKENS = 4, 0.75, 3, 3
 COPY_SHARE = 0.5
+#: up to so many distinct dropped lines (8 bytes each) go to the tasks; beyond, texts are joined
+HELD_LINES = 1 << 21
 _FIELD = np.uint64(0x6A09E667F3BCC909)  # stands for a token that holds a digit
 
 
@@ -120,10 +122,10 @@ def _generalise(texts: DataFrame, lines: DataFrame, min_docs: int, similarity: f
             .filter(F.col("same") >= F.lit(similarity) * F.col("n")).select("leaf", "line"))
 
 
-def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS,
+def _dropped(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS,
                     similarity: float = SIMILARITY, depth: int = DEPTH) -> DataFrame:
-    """``th`` (hash of a text) and ``drop`` (numbers of its lines, from 0) for every distinct
-    text with a line whose template recurs."""
+    """``th`` (hash of a text), ``idx`` (number of a line in it, from 0) and ``line`` for every
+    line of a distinct text whose template recurs."""
     texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("t"))
     texts = texts.filter(F.length("t") > 0)
     scanned = scan_lines(texts, depth)
@@ -131,7 +133,7 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN
     general = _generalise(texts, lines, min_docs, similarity, depth)
     template = F.when(F.col("g").isNotNull(), F.col("leaf")).otherwise(F.col("line"))
     named = materialise(lines.join(general.withColumn("g", F.lit(1)), ["leaf", "line"], "left")
-                        .select("th", "idx", "n", template.alias("template")), "named-lines")
+                        .select("th", "idx", "n", "line", template.alias("template")), "named-lines")
 
     def recurring(rows):
         return (rows.select("template", "th").distinct().groupBy("template").agg(F.count("*").alias("c"))
@@ -142,8 +144,40 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN
     copies = (whole.join(shared, "th").filter(F.col("shared") > F.lit(COPY_SHARE) * F.col("whole")).select("th"))
     carried = named.join(first, "template", "left_semi").join(materialise(copies, "copies"), "th", "left_anti")
     last = materialise(recurring(carried), "templates")
-    return (named.filter(F.col("n") >= min_tokens).join(last, "template", "left_semi")
-            .groupBy("th").agg(F.array_sort(F.collect_list("idx")).alias("drop")))
+    return named.filter(F.col("n") >= min_tokens).join(last, "template", "left_semi").select("th", "idx", "line")
+
+
+def recurring_lines(docs: DataFrame, text_col: str = "text", **params) -> DataFrame:
+    """``th`` (hash of a text) and ``drop`` (numbers of its lines, from 0) for every distinct
+    text with a line whose template recurs."""
+    return _dropped(docs, text_col, **params).groupBy("th").agg(F.array_sort(F.collect_list("idx")).alias("drop"))
+
+
+def _cut(docs: DataFrame, text_col: str, lines: np.ndarray, depth: int) -> DataFrame:
+    """Cut the given lines (sorted hashes) out of the texts on a scan."""
+    held = docs.sparkSession.sparkContext.broadcast(lines)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        gone = held.value
+        for b in batches:
+            for s in K.slices(b.column(at)):
+                row, number, _, _, line, _, _ = _lines(s, depth)
+                hit = np.zeros(len(line), bool)
+                if len(gone):
+                    hit = gone[np.minimum(np.searchsorted(gone, line), len(gone) - 1)] == line
+                texts = b.column(at).slice(s.lo, s.rows).to_pylist()
+                many = np.bincount(row[hit], minlength=s.rows)
+                for r in np.flatnonzero(many):
+                    lo, hi = np.searchsorted(row, [r, r + 1])
+                    cut = set(number[lo:hi][hit[lo:hi]].tolist())
+                    texts[r] = "\n".join(x for i, x in enumerate(texts[r].split("\n")) if i not in cut)
+                columns = [b.column(i).slice(s.lo, s.rows) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(many, pa.int32())], names=[*names, "__dropped"])
+
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema))
+    return (map_arrow(docs.toDF(*names), run, kinds + ", __dropped int").withColumnsRenamed(dict(zip(names, docs.columns))))
 
 
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text", **params) -> DataFrame:
@@ -153,7 +187,13 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", **params) -> D
     Null and empty texts, blank lines and lines of fewer than ``min_tokens`` tokens are never
     touched; repeated rows are changed alike. A text all of whose lines recur becomes empty.
     """
-    drops = materialise(recurring_lines(docs, text_col, **params), "drops").withColumnsRenamed({"th": "__th", "drop": "__drop"})
+    dropped = materialise(_dropped(docs, text_col, **params), "dropped-lines")
+    lines = materialise(dropped.select("line").distinct(), "distinct-dropped-lines")
+    if lines.count() <= HELD_LINES:  # whether a line goes depends on the line alone: no text is moved
+        known = np.sort(lines.toPandas()["line"].to_numpy(np.int64).view(np.uint64))
+        return _cut(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, known, params.get("depth", DEPTH))
+    drops = dropped.groupBy("th").agg(F.array_sort(F.collect_list("idx")).alias("drop"))
+    drops = materialise(drops, "drops").withColumnsRenamed({"th": "__th", "drop": "__drop"})
     kept = F.filter(F.split(F.col(text_col).cast("string"), "\n", -1), lambda x, i: ~F.array_contains("__drop", i))
     text = F.when(F.col("__drop").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(kept, "\n"))
     joined = docs.withColumn("__th", F.xxhash64(F.col(text_col).cast("string"))).join(drops, "__th", "left")

@@ -1,3 +1,5 @@
+import pytest
+
 from talentflow.llm import line_templates as T
 from talentflow.llm import queries as Q
 
@@ -7,6 +9,11 @@ def _text(i, *lines):
                       " ".join(f"{i}{w}own" for w in "abcdefghijklmnopqrstuvwxyzabcdefgh")])
 
 
+@pytest.fixture(params=[T.HELD_LINES, -1], autouse=True)
+def _either_way(request, monkeypatch):
+    monkeypatch.setattr(T, "HELD_LINES", request.param)
+
+
 def _run(spark, docs, **params):
     df = spark.createDataFrame([(i, t, i, "x") for i, t in docs], "doc_id long, text string, n long, drop string")
     out = T.drop_recurring_lines(df, **params)
