@@ -7,15 +7,17 @@ token of most of the leaf's documents, or variable where none is. A line belongs
 leaf's template if at least ``SIMILARITY`` of its tokens agree with it, and is a template of
 its own otherwise. Templates that recur in ``MIN_DOCS`` documents or more are dropped.
 
-Copies of a document make all of its lines recur without any of them being a template: a
-document whose recurring lines hold more than half of its tokens is not counted as a carrier
-(equal texts count once in any case). Copies are left whole that way - they are the business
-of near-duplicate detection - and lose only lines which other documents carry too.
+Copies of a document make all of its lines recur without any of them being a template:
+carriers are therefore counted by near-duplicate class (``ngram_join``, among the texts that
+carry a line whose template recurs), each class once. Copies of one document are left whole
+that way - they are the business of near-duplicate detection - and lose only lines which
+other documents carry too. How much of a text recurs is of no matter.
 
 Scale: two scans of the texts; lines travel as hashes. A line's tokens leave the second scan
 only if its leaf may hold several lines that recur (a bitmap of fixed size, then an exact
-join). Everything else is partial aggregates and equi-joins on hashes; the last join brings
-the numbers of dropped lines back to the texts.
+join). Carriers are picked by a bitmap on a further scan and sketched there. Everything else
+is partial aggregates and equi-joins on hashes; the last join brings the numbers of dropped
+lines back to the texts.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentflow.llm import kernel as K
+from talentflow.llm import ngram_join
 from talentflow.llm.store import bitmap, map_arrow, marked, materialise
 
 DEPTH, SIMILARITY, MIN_DOCS, MIN_TOKENS = 4, 0.75, 3, 3
-COPY_SHARE = 0.5
 #: up to so many distinct dropped lines (8 bytes each) go to the tasks; beyond, texts are joined
 HELD_LINES = 1 << 21
 _FIELD = np.uint64(0x6A09E667F3BCC909)  # stands for a token that holds a digit
@@ -122,6 +124,21 @@ def _generalise(texts: DataFrame, lines: DataFrame, min_docs: int, similarity: f
             .filter(F.col("same") >= F.lit(similarity) * F.col("n")).select("leaf", "line"))
 
 
+def _copy_classes(texts: DataFrame, carriers: DataFrame) -> DataFrame:
+    """``th, root`` for the texts in ``carriers``: near-duplicates among them have one root."""
+    carriers = materialise(carriers, "carriers")
+    held = texts.sparkSession.sparkContext.broadcast(bitmap(carriers, "th"))
+
+    def run(batches):
+        for b in batches:
+            ok = marked(held.value, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            yield b.filter(pa.array(ok))
+
+    some = map_arrow(texts, run, "th long, t string")
+    judged = ngram_join.near_duplicates(some, "th", "t", among=carriers)
+    return materialise(judged.select(F.col("doc").alias("th"), F.col("component_id").alias("root")).distinct(), "copy-classes")
+
+
 def _dropped(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS,
                     similarity: float = SIMILARITY, depth: int = DEPTH) -> DataFrame:
     """``th`` (hash of a text), ``idx`` (number of a line in it, from 0) and ``line`` for every
@@ -135,16 +152,15 @@ def _dropped(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS,
     named = materialise(lines.join(general.withColumn("g", F.lit(1)), ["leaf", "line"], "left")
                         .select("th", "idx", "n", "line", template.alias("template")), "named-lines")
 
-    def recurring(rows):
-        return (rows.select("template", "th").distinct().groupBy("template").agg(F.count("*").alias("c"))
+    def recurring(rows, carrier):
+        return (rows.select("template", carrier).distinct().groupBy("template").agg(F.count("*").alias("c"))
                 .filter(F.col("c") >= min_docs).select("template"))
-    first = materialise(recurring(named), "recurring")
-    shared = named.join(first, "template", "left_semi").groupBy("th").agg(F.sum("n").alias("shared"))
-    whole = named.groupBy("th").agg(F.sum("n").alias("whole"))
-    copies = (whole.join(shared, "th").filter(F.col("shared") > F.lit(COPY_SHARE) * F.col("whole")).select("th"))
-    carried = named.join(first, "template", "left_semi").join(materialise(copies, "copies"), "th", "left_anti")
-    last = materialise(recurring(carried), "templates")
-    return named.filter(F.col("n") >= min_tokens).join(last, "template", "left_semi").select("th", "idx", "line")
+    long = named.filter(F.col("n") >= min_tokens)
+    first = materialise(recurring(long, "th"), "recurring")
+    carried = materialise(long.join(first, "template", "left_semi"), "carried")
+    classes = _copy_classes(texts, carried.select("th").distinct())
+    last = materialise(recurring(carried.join(classes, "th"), "root"), "templates")
+    return carried.join(last, "template", "left_semi").select("th", "idx", "line")
 
 
 def recurring_lines(docs: DataFrame, text_col: str = "text", **params) -> DataFrame:

@@ -224,25 +224,29 @@ def _join(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: in
     return rows.groupBy("lo", "hi").applyInPandas(run, schema)
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The sketched rows, and one row per distinct set: ``cls, rep, copies, n, sig``."""
-    seen = materialise(sketches(docs, id_col, text_col, k), "sketches")
+    seen = sketches(docs, id_col, text_col, k)
+    if among is not None:
+        seen = seen.join(among.select(F.col(among.columns[0]).alias("doc")), "doc", "left_semi")
+    seen = materialise(seen, "sketches")
     classes = seen.filter("cls IS NOT NULL").groupBy("cls").agg(
         F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     return seen, materialise(classes, "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
-                    threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+                    threshold: float = THRESHOLD, tolerance: float = TOLERANCE, among: DataFrame | None = None) -> DataFrame:
     """One row per input row: ``doc``, ``class_id`` (smallest id with the same set of runs),
     ``n_links`` (other documents linked, its class's others included), ``component_id``
     (smallest id reachable by links) and ``kept`` (``doc = component_id``).
 
     Null texts, texts without words and sets that only rows without an id have link with
     nothing but their copies; texts without words are kept; rows that repeat an id are the same
-    document; other columns are not read.
+    document; other columns are not read. With ``among``: only rows whose id is in its first
+    column take part.
     """
-    seen, classes = _classes(docs, id_col, text_col, k)
+    seen, classes = _classes(docs, id_col, text_col, k, among)
     seen_links = materialise(_join(docs, classes, id_col, text_col, k, threshold, tolerance, pairs=False), "links")
     degree = seen_links.groupBy("rep").agg(F.sum("links").alias("linked"))
     roots = components(seen_links, "rep", "root").withColumnRenamed("node", "rep")

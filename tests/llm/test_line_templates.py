@@ -32,6 +32,24 @@ def test_recurring_templates_are_dropped(spark):
         assert "rights" not in text and "Page" not in text and "fox" not in text and f"only{c}" in text
 
 
+def test_texts_of_mostly_recurring_lines_lose_them(spark):
+    """The texts of the test above without a long line of their own: 22 of 41 tokens recur."""
+    docs = [(i, "\n".join([f"opening of document number{c} alpha{c}x beta{c}y", "All rights reserved.", f"Page {i} of 12 printed on day {i * 3}",
+                           f"the quick brown fox saw {c}{c}{c} and went on to sleep", f"only{c} this{c} document{c} has{c} that{c} line{c}",
+                           f"closing words q{c}z stand here alone z{c}z"])) for i, c in enumerate("abcdefghijkl")]
+    got = _run(spark, docs)
+    for i, c in enumerate("abcdefghijkl"):
+        text, n = got[i]
+        assert n == 3 and text.count("\n") == 2
+        assert "rights" not in text and "Page" not in text and "fox" not in text and f"only{c}" in text
+
+
+def test_passage_carried_by_shorter_texts_only(spark):
+    passage = "this notice of nine words recurs in all texts"
+    docs = [(i, f"{c}a {c}b {c}c {c}d {c}e {c}f\n{passage}") for i, c in enumerate("pqrst")]
+    assert _run(spark, docs) == {i: (t.split("\n")[0], 1) for i, t in docs}
+
+
 def test_templates_need_documents_and_similarity(spark):
     docs = [(i, _text(c, "shared by two documents only" if i < 2 else f"o{c} p{c} q{c}", "a b c d " + " ".join(f"{c}{j}x" * 2 for j in "pqrstuvw")))
             for i, c in enumerate("abcdefg")]
