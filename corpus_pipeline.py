@@ -4,7 +4,7 @@
 are written as Parquet in the shared checkpoint folder and read again. All stages but the
 last return the columns of ``documents``:
 
-1. language ID: documents without a letter, or whose language the network can't tell, go;
+1. language ID: documents to which the network gives no language (no text, no letter) go;
 2. line dedup: lines whose template recurs across documents are cut out of the texts;
 3. n-gram Jaccard join: of each group of near-duplicates the smallest id stays;
 4. benchmark decontamination: contaminated documents go;
@@ -20,17 +20,15 @@ from pyspark.sql import functions as F
 from talentflow.llm import decontaminate, langid_cnn, line_templates, ngram_join, sp_sampling
 from talentflow.llm.store import materialise
 
-MIN_LANG_SCORE = 0.5
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network, trained on their ``lang``, tells with a score
-    of ``MIN_LANG_SCORE`` or more. Null texts and texts without a letter go."""
+    """Documents to which the network, trained on their ``lang``, gives a language, however
+    close a second one comes. Null texts and texts without a letter go."""
     model = langid_cnn.fit(docs)
     seen = langid_cnn.predict(docs, model, keep=tuple(docs.columns))
-    known = (F.col("lang_pred") != langid_cnn.UNKNOWN) & (F.col("score") >= MIN_LANG_SCORE)
-    return seen.filter(known).select(*docs.columns)
+    return seen.filter(F.col("lang_pred") != langid_cnn.UNKNOWN).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 import corpus_pipeline as C  # noqa: E402
 from helpers import contamination, near_duplicates  # noqa: E402
 from talentflow.llm.store import materialise  # noqa: E402
@@ -43,6 +45,15 @@ def test_odd_rows(spark, table):
     assert 10 ** 7 not in ids and 10 ** 7 + 2 not in ids and None in ids
 
 
+def test_language_with_a_low_score_stays(spark, table, monkeypatch):
+    def predict(docs, model, keep):
+        return docs.select(*keep, F.when(F.col("doc_id") % 2 == 0, "und").otherwise("en").alias("lang_pred"), F.lit(0.3).alias("score"))
+    monkeypatch.setattr(C.langid_cnn, "fit", lambda docs: None)
+    monkeypatch.setattr(C.langid_cnn, "predict", predict)
+    docs = table("documents")
+    assert {r.doc_id for r in C.language_id(spark, docs, SF).collect()} == {r.doc_id for r in docs.collect() if r.doc_id % 2}
+
+
 def test_run_equals_its_stages(spark):
     assert C.ORACLE_SQL is None
     out = C.run(spark, SF)
