@@ -60,6 +60,17 @@ def matching_rule(h: Column, p: Column, rules=tuple(RULES)) -> Column:
     return F.coalesce(*[F.when(fits(r), F.lit(r)) for r in ordered], F.lit(None).cast("string"))
 
 
+def _without_dots(url: Column) -> Column:
+    """An absolute url whose path has no ``.`` and ``..`` segments."""
+    segments = F.split(F.regexp_extract(url, r"^[^?#]*?://[^/?#]*/([^?#]*)", 1), "/")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(segments, none, lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))))
+                       .when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    kept = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    plain = F.concat(F.regexp_extract(url, r"^[^?#]*?://[^/?#]*/", 0), F.array_join(kept, "/"), F.regexp_extract(url, r"(?s)[?#].*$", 0))
+    return F.when(url.rlike(r"^[^?#]*?://[^/?#]*/(?:[^?#]*/)?\.\.?(?:[/?#]|$)"), plain).otherwise(url)
+
+
 def _absolute(target: Column, url: Column) -> Column:
     """A link target as an absolute url, as seen from ``url``."""
     scheme = F.concat(F.regexp_extract(url, r"^([^:]*)://", 1), F.lit("://"))
@@ -75,15 +86,16 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     """``a, b``: url keys that a canonical link or a refresh of the page ties together."""
     html, url = F.col(html_col), F.col(url_col)
     tags = F.regexp_extract_all(html, F.lit(r"(?i)(<(?:link|meta)\b[^>]*(?:canonical|refresh)[^>]*>)"), F.lit(1))
-    tag = F.col("tag")
+    tag = F.regexp_replace(F.col("tag"), "(?i)&(?:amp|#38|#x26);", "&")
+    rel = r"""(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"""
     href = F.regexp_extract(tag, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     to = F.regexp_extract(tag, r"(?i)\burl\s*=\s*['\"]?([^\"'\s>;]+)", 1)
-    target = (F.when(tag.rlike(r"(?i)^<link\b.*\brel\s*=\s*[\"']?canonical\b"), href)
-              .when(tag.rlike(r"(?i)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"), to))
+    target = (F.when(tag.rlike(r"(?is)^<link\b.*\brel\s*=\s*" + rel), href)
+              .when(tag.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"), to))
     found = (pages.filter(html.rlike("(?i)canonical|refresh"))
              .select(url.alias("__url"), F.explode(tags).alias("tag"))
              .select(F.col("__url"), target.alias("__to")).filter("__to <> ''"))
-    return found.select(key(F.col("__url")).alias("a"), key(_absolute(F.col("__to"), F.col("__url"))).alias("b"))
+    return found.select(key(F.col("__url")).alias("a"), key(_without_dots(_absolute(F.col("__to"), F.col("__url")))).alias("b"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",

@@ -49,6 +49,19 @@ def test_given_redirects(spark):
     assert {r.id: r.verdict for r in U.judge(df, redirects=moves).collect()} == {1: "block", 2: "block"}
 
 
+def test_edges_of_any_valid_markup(spark):
+    pages = [(1, "https://a.net/x/y/1", '<link\n rel="canonical"\n href="/n">', "a.net/n?"),
+             (2, "https://a.net/2", '<meta\nhttp-equiv="refresh"\ncontent="0; url=/m?a=1&amp;b=2">', "a.net/m?a=1&b=2"),
+             (3, "https://a.net/3", '<link rel="canonical" href="https://b.net/q?a=1&amp;b=2">', "b.net/q?a=1&b=2"),
+             (4, "https://a.net/4", "<link href='/r' rel='alternate canonical'>", "a.net/r?"),
+             (5, "https://a.net/x/y/5", '<link rel=canonical href="../z/./w?p=../1">', "a.net/x/z/w?p=../1"),
+             (6, "https://a.net/x/y/6", '<link rel=canonical href="../../../..">', "a.net/?"),
+             (7, "https://a.net/7", '<link rel="non-canonical" href="/none">', None)]
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    got = {r.a: r.b for r in U.link_edges(df).collect()}
+    assert got == {u.split("://")[1] + "?": b for _, u, _, b in pages if b}
+
+
 def test_no_python_in_the_plan(spark, table):
     plan = U.judge(table("pages"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
