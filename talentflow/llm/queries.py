@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentflow.llm import (decontaminate, gru_lm, langid_cnn, line_templates, ngram_join, pq_dedup,
+from talentflow.llm import (crc_resampling, decontaminate, gru_lm, langid_cnn, line_templates, ngram_join, pq_dedup,
                              quality_rules, sp_sampling, token_counts, url_redirects)
 
 QUERIES: dict = {}
@@ -100,6 +100,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.xxhash64("decoded") == F.col("was")).alias("lossless"))
 
 
+@_query
+def op13_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = crc_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("doc").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 ORACLES["op4_url_redirects"] = r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
