@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentflow.llm import (crc_resampling, decontaminate, gru_lm, langid_cnn, line_templates, ngram_join, pq_dedup,
-                             quality_rules, sp_sampling, token_counts, url_redirects)
+from talentflow.llm import (crc_resampling, decontaminate, gru_lm, langid_cnn, line_templates, ngram_join, nra_search,
+                             pq_dedup, quality_rules, sp_sampling, token_counts, url_redirects)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -100,6 +100,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.xxhash64("decoded") == F.col("was")).alias("lossless"))
 
 
+@_query
+def op11_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nra_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
 @_query
 def op13_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = crc_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -123,3 +129,25 @@ SELECT n.page_id, n.host, n.path, f.rule, coalesce(f.own, 'allow') AS verdict
 FROM named n LEFT JOIN fits f ON n.page_id = f.page_id AND f.k = 1
 -- no page of these tables has a canonical link or a refresh, so that every alias class is one url
 """
+
+ORACLES["op11_nra_search"] = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM documents),
+tf AS (
+  SELECT doc_id, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, count(*) AS tf
+  FROM words GROUP BY ALL),
+docs AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+totals AS (SELECT count(*) AS cn, sum(n)::BIGINT AS cl FROM docs),
+wanted AS (
+  SELECT DISTINCT item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+                                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM benchmark),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * cn + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY term, cn),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * cn) // cl))))::BIGINT AS score
+  FROM wanted JOIN tf USING (term) JOIN weights USING (term) JOIN docs USING (doc_id), totals GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
