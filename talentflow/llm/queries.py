@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentflow.llm import (crc_resampling, decontaminate, gru_lm, langid_cnn, line_templates, ngram_join, nra_search,
-                             pq_dedup, quality_rules, sp_sampling, token_counts, url_redirects)
+                             pq_dedup, quality_rules, repair_shards, sp_sampling, token_counts, url_redirects)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -106,6 +106,13 @@ def op11_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
 
 
+@_query
+def op12_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    rows = repair_shards.write_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return rows.withColumnRenamed("doc", "doc_id")
+
+
 @_query
 def op13_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = crc_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
