@@ -13,7 +13,9 @@ partitioned by (stratum, bucket) ranks the groups inside one bucket.
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest,
@@ -23,6 +25,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talentflow.operators import svd as SVD
 from talentflow.plans import presets as P
 from talentflow.session import cut_lineage
 
@@ -143,8 +146,9 @@ def label_index_col(label: str = "suitability", labels: list[str] = P.LABELS) ->
     return F.element_at(m, F.col(label))
 
 
-def classifiers(n_features: int, n_classes: int = 3, seed: int = P.SEED) -> dict:
-    """M7-M11 estimators (weights through ``weightCol`` where supported)."""
+def classifiers(seed: int = P.SEED) -> dict:
+    """M7-M10 estimators of MLlib, weighted; the net is ``fit_mlp``, the softmax boosted trees
+    are ``operators.boosting``."""
     return {
         "logistic_regression": LogisticRegression(featuresCol="features", labelCol="label_idx",
                                                   weightCol="weight", family="multinomial",
@@ -162,26 +166,103 @@ def classifiers(n_features: int, n_classes: int = 3, seed: int = P.SEED) -> dict
                                                   stepSize=0.07, subsamplingRate=0.8, seed=seed),
                          featuresCol="features", labelCol="label_idx", weightCol="weight",
                          parallelism=3),
-        "mlp": MultilayerPerceptronClassifier(featuresCol="features", labelCol="label_idx",
-                                              layers=[n_features, 128, 64, n_classes], seed=seed,
-                                              maxIter=200),
     }
 
 
+def grid(name: str, n_rows: int) -> dict[str, dict]:
+    """M7-M9: the tuning grid of one estimator, ``{label: parameters}``. With balanced weights
+    (which sum to the number of rows) a cost C is the penalty 1 / (C * rows)."""
+    if name in P.TUNING_COSTS:
+        return {f"C={c:g}": {"regParam": 1.0 / (c * max(n_rows, 1))} for c in P.TUNING_COSTS[name]}
+    return {f"depth={d},leaf={m}": {"maxDepth": d, "minInstancesPerNode": m}
+            for d in P.TUNING_DEPTHS for m in P.TUNING_LEAVES}
+
+
+def cross_validate(folded: DataFrame, points: dict, label: str = "suitability", fold: str = "fold", k: int = 4,
+                   parallel: int = 4) -> list[dict]:
+    """Every estimator of ``points`` (``{name: estimator}``) on every fold of a feature
+    table, as ``{point, fold, n_train, n_valid, f1_macro, train_f1}``. Class weights are those
+    of the fold's training part. Fits of several folds run side by side; the table is read
+    from where it was written once, and only metrics come back."""
+    def one(task):
+        name, f = task
+        train = class_weights(folded.filter(F.col(fold) != f).drop("weight"), label)
+        valid = folded.filter(F.col(fold) == f)
+        model = points[name].fit(train)
+        n, m = train.count(), valid.count()
+        scores = [macro_metrics(model.transform(x), "label_idx", "prediction").first().f1_macro for x in (valid, train)]
+        return {"point": name, "fold": f, "n_train": n, "n_valid": m, "f1_macro": scores[0], "train_f1": scores[1]}
+
+    tasks = [(name, f) for f in range(k) for name in points]
+    spark = folded.sparkSession
+    with ThreadPool(min(parallel, len(tasks))) as pool:
+        return pool.map(inheritable_thread_target(spark)(one), tasks)
+
+
+def best_point(scores: list[dict]) -> str:
+    """The grid point with the best mean macro-F1 over the folds (ties by name)."""
+    mean: dict[str, list[float]] = {}
+    for s in scores:
+        mean.setdefault(s["point"], []).append(s["f1_macro"])
+    return min(mean, key=lambda p: (-sum(mean[p]) / len(mean[p]), p))
+
+
+def log_loss(pred: DataFrame, label: str = "label_idx", weight: str = "weight", prob: str = "probability") -> float:
+    """Weighted mean cross-entropy of a prediction table."""
+    p = F.element_at(vector_to_array(prob), F.col(label).cast("int") + 1)
+    r = pred.agg(F.sum(-F.col(weight) * F.log(F.greatest(p, F.lit(1e-15)))).alias("l"), F.sum(weight).alias("w")).first()
+    return r.l / r.w if r.w else 0.0
+
+
+def fit_mlp(train: DataFrame, valid: DataFrame, hidden: tuple = (128, 64), n_classes: int = 3, step: int = 10,
+            max_iter: int = 100, patience: int = 3, min_delta: float = 1e-4, seed: int = P.SEED):
+    """The feature net with early stopping; ``(model, history)``.
+
+    Training goes on from the last weights, ``step`` iterations a round, until the held-out
+    loss has not fallen by ``min_delta`` for ``patience`` rounds; the best round's model is
+    returned. The estimator takes no weights: rows are repeated in proportion to theirs."""
+    least = train.agg(F.min("weight").alias("w")).first().w or 1.0
+    n = train.select("features").head()
+    size = len(n.features) if n else 1
+    copies = F.greatest(F.round(F.col("weight") / least), F.lit(1)).cast("int")
+    balanced = cut_lineage(train.select("features", "label_idx", "weight", F.explode(F.sequence(F.lit(1), copies)).alias("copy")))
+    weights, best, history = None, None, []
+    for i in range(max(max_iter // step, 1)):
+        net = MultilayerPerceptronClassifier(featuresCol="features", labelCol="label_idx",
+                                             layers=[size, *hidden, n_classes], seed=seed, maxIter=step, initialWeights=weights)
+        model = net.fit(balanced)
+        weights = model.weights
+        history.append({"round": i + 1, "iterations": (i + 1) * step, "train_loss": log_loss(model.transform(train)),
+                        "valid_loss": log_loss(model.transform(valid))})
+        if best is None or history[-1]["valid_loss"] < history[best[0]]["valid_loss"] - min_delta:
+            best = (i, model)
+        elif i - best[0] >= patience:
+            break
+    for i, h in enumerate(history):
+        h["best"] = i == best[0]
+    return best[1], history
+
+
 def index_to_label(col: str, labels: list[str] = P.LABELS) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in labels]), F.col(col).cast("int") + 1)
 
 
-def fit_and_score(train: DataFrame, test: DataFrame, num_cols: list[str], name: str,
-                  extra_vec: list[str] | None = None, n_extra: int = 0, params: dict | None = None):
-    """Fit feature pipeline + one classifier on train; predictions on both splits."""
-    est = with_params(classifiers(len(num_cols) + n_extra)[name], params or {})
-    model = Pipeline(stages=[*feature_pipeline(num_cols, extra_vec), est]).fit(train)
-    out = []
-    for part in (train, test):
-        p = model.transform(part).withColumn("predicted", index_to_label("prediction"))
-        out.append(p)
-    return model, out[0], out[1]
+def fit_features(train: DataFrame, num_cols: list[str], text_col: str, unicode: bool = True) -> tuple[PipelineModel, SVD.TextSvd]:
+    """M3-M5 fit on the training part alone: scaler of the numerics and SVD of the text."""
+    svd = SVD.fit(train, text_col, unicode=unicode)
+    # fitting runs the stages up to the scaler; the text's components join after it
+    return Pipeline(stages=feature_pipeline(num_cols, ["svd_vec"])).fit(train), svd
+
+
+def add_features(df: DataFrame, model: PipelineModel, svd: SVD.TextSvd, text_col: str) -> DataFrame:
+    """M5: ``df`` with ``features``: the scaled numerics, then the text's components."""
+    rows = SVD.transform(svd, df, text_col, "__svd").withColumn("svd_vec", array_to_vector("__svd"))
+    return model.transform(rows).drop("__svd", "svd_vec", "__num", "__numz")
+
+
+def predict(model, df: DataFrame) -> DataFrame:
+    """Predictions of a fitted classifier, with the label's name as ``predicted``."""
+    return model.transform(df).withColumn("predicted", index_to_label("prediction"))
 
 
 def with_params(est, params: dict):
@@ -224,53 +305,3 @@ def match_probability_score(prob: str = "probability", weights=P.UPLOAD_SCORE_WE
     arr = vector_to_array(F.col(prob))
     terms = [arr[i] * w for i, w in enumerate(weights)]
     return F.round(reduce(lambda a, b: a + b, terms) * 100.0, 1)
-
-
-def svd_text_features(train: DataFrame, test: DataFrame, id_col: str, text_col: str,
-                      k: int = P.SVD_COMPONENTS, max_features: int = P.CLASSIFIER_MAX_FEATURES,
-                      unicode: bool = True):
-    """M3: TF-IDF fitted on ``train`` only -> truncated SVD (k components) ->
-    ``(id, svd)`` vectors for both splits (X · V, i.e. U·Σ on train).
-
-    The document-term rows become sparse vectors of an ``IndexedRowMatrix``
-    (ids kept); ``computeSVD`` runs distributed (Gramian-vector products), and
-    the projection is the JVM-side ``multiply`` by the local V, whose size is
-    bounded by ``max_features x k``. The matrix rows are numbered here, so the id may be
-    of any type.
-    """
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-    from talentflow.operators import tfidf
-
-    spark = train.sparkSession
-    train, test = (cut_lineage(x.select(F.col(id_col).alias("__id"), text_col)
-                                .withColumn("__row", F.monotonically_increasing_id())) for x in (train, test))
-    tf_tr = tfidf.term_counts(train, "__row", text_col, 2, unicode)
-    vocab = tfidf.fit_vocabulary(tf_tr, "__row", train.count(), P.TFIDF_MIN_DF, P.TFIDF_MAX_DF,
-                                 max_features)
-    # term index over the bounded vocabulary (at most max_features rows)
-    vidx = vocab.select("term", "idf", (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"))
-    vidx = vidx.checkpoint(eager=True)
-    n_terms = vidx.count()
-    kk = max(1, min(k, n_terms - 1))
-
-    def rows(tf):
-        w = tfidf.weigh(tf, vidx, "__row")
-        g = (w.join(vidx.select("term", "idx"), "term")
-              .groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("e")))
-        vec = g.rdd.map(lambda r: (int(r[0]), MV.sparse(
-            n_terms, [int(x[0]) for x in r[1]], [float(x[1]) for x in r[1]]))).toDF(["index", "vector"])
-        # materialised once in the shared folder: the SVD iterations re-read it on the JVM side
-        return vec.checkpoint(eager=True)
-
-    svd = IndexedRowMatrix(rows(tf_tr)).computeSVD(kk, computeU=False)
-    V = svd.V
-
-    def project(tf, part):
-        proj = IndexedRowMatrix(rows(tf)).multiply(V).rows
-        svd = spark.createDataFrame(proj.map(lambda r: (int(r.index), r.vector.toArray().tolist())),
-                                    "__row long, svd array<double>")
-        return cut_lineage(part.join(svd, "__row").select(F.col("__id").alias(id_col), "svd"))
-
-    tf_te = tfidf.term_counts(test, "__row", text_col, 2, unicode)
-    return project(tf_tr, train), project(tf_te, test), kk

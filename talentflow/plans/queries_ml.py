@@ -10,14 +10,23 @@ pipeline shape of the source (pairs + resume features + job features).
 from __future__ import annotations
 
 import os
-
-from pyspark.ml import PipelineModel
+import uuid
+from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorSlicer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentflow.functions import extract as X
 from talentflow.functions import text as TX
+from talentflow.operators import boosting as BO
 from talentflow.operators import ml as ML
 from talentflow.operators import profile as PR
+from talentflow.operators import svd as SVD
 from talentflow.plans import presets as P
 from talentflow.plans.catalog import query
 from talentflow.session import checkpoint_dir, cut_lineage
@@ -174,25 +183,98 @@ def _split(spark, d):
     # iterative fits re-read their input many times: materialise the feature
     # table once in the shared checkpoint folder (survives executor loss)
     ft = cut_lineage(feature_table(spark, d))
-    sp = ML.group_split(ft, "doc_id")
-    sp = ML.class_weights(sp, "suitability").withColumn("label_idx", ML.label_index_col("suitability"))
-    return sp.filter(~F.col("is_test")), sp.filter(F.col("is_test"))
+    sp = ML.group_split(ft, "doc_id").withColumn("label_idx", ML.label_index_col("suitability"))
+    return ML.class_weights(sp.filter(~F.col("is_test")), "suitability"), sp.filter(F.col("is_test"))
+
+
+@dataclass
+class Matrix:
+    """The feature matrix of both splits (numerics and text components), the training groups'
+    folds and inner held-out part, and what was fitted on the training split to make it."""
+    train: DataFrame
+    test: DataFrame
+    scaler: PipelineModel
+    svd: SVD.TextSvd
+
+
+_MATRICES: dict[tuple[str, str], Matrix] = {}
+
+
+def matrix(spark, d) -> Matrix:
+    """M3-M5: built once per application and input, read from the shared folder by every fit."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MATRICES:
+        train, test = _split(spark, d)
+        train = cut_lineage(train)
+        scaler, svd = ML.fit_features(train, P.NUM_FEATURES, "combined_text", unicode=False)
+        folds = ML.stratified_group_folds(train.select("doc_id", "suitability"), "doc_id", "suitability").select("doc_id", "fold").distinct()
+        inner = (ML.group_split(train.select("doc_id").distinct(), "doc_id", P.INNER_SHARE, h=ML.group_hash("doc_id", P.SEED + 1))
+                 .withColumnRenamed("is_test", "inner"))
+        keep = ["doc_id", "item_id", "suitability", "label_idx", "features"]
+        full = (ML.add_features(train, scaler, svd, "combined_text").select(*keep, "weight")
+                .join(folds, "doc_id").join(inner, "doc_id"))
+        _MATRICES[key] = Matrix(cut_lineage(full), cut_lineage(ML.add_features(test, scaler, svd, "combined_text").select(*keep)), scaler, svd)
+    return _MATRICES[key]
+
+
+def fit_named(name: str, m: Matrix, params: dict | None = None):
+    """One model on the training split."""
+    if name == "mlp":
+        return ML.fit_mlp(m.train.filter(~F.col("inner")), m.train.filter("inner"))[0]
+    if name == "boosted_trees":
+        return BO.fit(m.train, m.svd.k + len(P.NUM_FEATURES), held_out="inner", rounds=BOOST_ROUNDS, rate=BOOST_RATE)
+    est = ML.with_params(ML.classifiers()[name], params or {})
+    if name == "gbt":  # 350 trees a class: on the numerics alone
+        numerics = VectorSlicer(inputCol="features", outputCol="numerics", indices=list(range(len(P.NUM_FEATURES))))
+        return Pipeline(stages=[numerics, est.copy({est.featuresCol: "numerics"})]).fit(m.train)
+    return est.fit(m.train)
+
+
+#: fewer and larger steps than the library's defaults (350 of 0.07): early stopping decides
+BOOST_ROUNDS, BOOST_RATE = 60, 0.3
 
 
 def _train(name):
     def run(spark, d):
-        train, test = _split(spark, d)
-        _, _, te = ML.fit_and_score(train, test, P.NUM_FEATURES, name)
-        return te.select("doc_id", "item_id", "suitability", "predicted")
-    run.__doc__ = f"M7-M11: {name} on the M1 features, grouped split; test predictions (rows only)."
+        m = matrix(spark, d)
+        return ML.predict(fit_named(name, m), m.test).select("doc_id", "item_id", "suitability", "predicted")
+    run.__doc__ = f"M7-M11: {name} on numerics and text components, grouped split; test predictions (rows only)."
     return run
 
 
-for _name, _key in [("train_lr", "logistic_regression"), ("train_svm", "linear_svm"),
-                    ("train_rf", "random_forest"), ("train_gbt", "gbt"), ("train_mlp", "mlp")]:
+for _name, _key in [("train_lr", "logistic_regression"), ("train_svm", "linear_svm"), ("train_rf", "random_forest"),
+                    ("train_gbt", "boosted_trees"), ("train_gbt_ovr", "gbt"), ("train_mlp", "mlp")]:
     query(_name)(_train(_key))
 
 
+def _tuned(name):
+    def run(spark, d):
+        m = matrix(spark, d)
+        est = ML.classifiers()[name]
+        points = {p: ML.with_params(est, v) for p, v in ML.grid(name, m.train.count()).items()}
+        scores = ML.cross_validate(m.train, points)
+        best = ML.best_point(scores)
+        return spark.createDataFrame([(name, s["point"], s["fold"], s["n_train"], s["n_valid"], s["f1_macro"], s["train_f1"],
+                                       s["point"] == best) for s in scores],
+                                     "model string, point string, fold int, n_train long, n_valid long, f1_macro double, "
+                                     "train_f1 double, best boolean")
+    run.__doc__ = f"M13: {name}, every grid point on every grouped fold by macro-F1 (rows only)."
+    return run
+
+
+for _name, _key in [("tuned_lr", "logistic_regression"), ("tuned_svm", "linear_svm"), ("tuned_rf", "random_forest")]:
+    query(_name)(_tuned(_key))
+
+
+@query("mlp_history")
+def mlp_history(spark, d):
+    """Losses of each training round of the feature net, and the round that was kept."""
+    m = matrix(spark, d)
+    _, history = ML.fit_mlp(m.train.filter(~F.col("inner")), m.train.filter("inner"))
+    return spark.createDataFrame([tuple(h[c] for c in ("round", "iterations", "train_loss", "valid_loss", "best")) for h in history],
+                                 "round int, iterations int, train_loss double, valid_loss double, best boolean")
+
+
 @query("train_embeddings")
 def train_embeddings(spark, d):
     """Classifier on concatenated pre-computed embeddings of pair members.
@@ -219,17 +301,14 @@ def train_embeddings(spark, d):
 
 @query("model_comparison")
 def model_comparison(spark, d):
-    """M16 + M19: train/test metrics of every model, best macro-F1 first."""
-    train, test = _split(spark, d)
+    """M16 + M19: train and test metrics of all five models, best macro-F1 first."""
+    m = matrix(spark, d)
     rows = None
-    for key in ["logistic_regression", "linear_svm", "random_forest", "mlp"]:
-        _, trp, tep = ML.fit_and_score(train, test, P.NUM_FEATURES, key)
-        m = ML.macro_metrics(tep, "suitability", "predicted")
-        trf = ML.macro_metrics(trp, "suitability", "predicted").select(F.col("f1_macro").alias("train_f1"))
-        r = m.withColumn("model", F.lit(key)).unionByName(
-            trf.withColumn("model", F.lit(key)), allowMissingColumns=True) \
-             .groupBy("model").agg(*[F.max(c).alias(c) for c in
-                                     ["accuracy", "precision_macro", "recall_macro", "f1_macro", "train_f1"]])
+    for key in ["logistic_regression", "linear_svm", "random_forest", "boosted_trees", "mlp"]:
+        model = fit_named(key, m)
+        scores = ML.macro_metrics(ML.predict(model, m.test), "suitability", "predicted")
+        fitted = ML.macro_metrics(ML.predict(model, m.train), "suitability", "predicted").first().f1_macro
+        r = scores.withColumns({"model": F.lit(key), "train_f1": F.lit(fitted)})
         rows = r if rows is None else rows.unionByName(r)
     return rows.withColumn("gap_f1", F.round(F.col("train_f1") - F.col("f1_macro"), 4)) \
                .orderBy(F.desc("f1_macro"), F.asc("model"))
@@ -237,38 +316,49 @@ def model_comparison(spark, d):
 
 @query("importances")
 def importances(spark, d):
-    """Random-forest importances of the engineered features."""
-    train, test = _split(spark, d)
-    model, _, _ = ML.fit_and_score(train, test, P.NUM_FEATURES, "random_forest")
-    pairs = ML.feature_importances(model, P.NUM_FEATURES)
-    return spark.createDataFrame([(n, float(v)) for n, v in pairs], "feature string, importance double")
+    """Random-forest importances of the numerics and the text components."""
+    m = matrix(spark, d)
+    names = P.NUM_FEATURES + [f"svd_{i}" for i in range(m.svd.k)]
+    imp = fit_named("random_forest", m).featureImportances.toArray().tolist()
+    return spark.createDataFrame(sorted(zip(names, imp), key=lambda t: (-t[1], t[0])), "feature string, importance double")
 
 
 @query("learning_curve")
 def learning_curve(spark, d):
-    """Test macro-F1 of logistic regression at 5 train-group fractions."""
-    train, test = _split(spark, d)
-    ranked = ML.rank_in_hash_order(train.select("doc_id").distinct(), "doc_id", ML.group_hash("doc_id", 7))
-    out = None
-    for frac in (0.2, 0.4, 0.6, 0.8, 1.0):
-        keep = ranked.filter(F.col("hash_rank") <= F.ceil(F.col("n_in_part") * frac)).select("doc_id")
-        tr = train.join(keep, "doc_id", "left_semi")
-        _, _, te = ML.fit_and_score(tr, test, P.NUM_FEATURES, "logistic_regression")
-        m = ML.macro_metrics(te, "suitability", "predicted").withColumn("train_fraction", F.lit(frac))
-        out = m if out is None else out.unionByName(m)
-    return out
+    """Train and validation macro-F1 of logistic regression on every fold at 5 shares of
+    its training groups."""
+    m = matrix(spark, d)
+    groups = m.train.select("doc_id", "fold").distinct()
+    # the training groups of each fold, in one hash order
+    ranked = [ML.rank_in_hash_order(groups.filter(F.col("fold") != f), "doc_id", ML.group_hash("doc_id", 7))
+              .select("doc_id", F.lit(f).alias("of"), "hash_rank", "n_in_part") for f in range(4)]
+    ranked = cut_lineage(reduce(DataFrame.unionByName, ranked))
+
+    def point(task):
+        share, f = task
+        kept = ranked.filter((F.col("of") == f) & (F.col("hash_rank") <= F.ceil(F.col("n_in_part") * share)))
+        both = (m.train.join(kept.select("doc_id"), "doc_id", "left_semi").withColumn("fold", F.lit(1))
+                .unionByName(m.train.filter(F.col("fold") == f).withColumn("fold", F.lit(0))))
+        s = ML.cross_validate(both, {"lr": ML.classifiers()["logistic_regression"]}, k=1)[0]
+        return share, f, s["n_train"], s["train_f1"], s["f1_macro"]
+
+    with ThreadPool(4) as pool:
+        out = pool.map(inheritable_thread_target(spark)(point), [(s, f) for s in (0.2, 0.4, 0.6, 0.8, 1.0) for f in range(4)])
+    return spark.createDataFrame(out, "train_fraction double, fold int, n_train long, train_f1 double, f1_macro double")
 
 
 @query("batch_score")
 def batch_score(spark, d):
-    """M20 + M21: persist the fitted pipeline to the shared checkpoint folder,
-    reload it, and score (resume text, job text) pairs with the upload rules
+    """M20 + M21: persist scaler, text components and classifier in a folder of this run below
+    the shared checkpoint folder, reload them, and score (resume text, job text) pairs with the upload rules
     (100-pattern skills, first 'N years', education cascade, completeness 0.8)."""
-    train, test = _split(spark, d)
-    model, _, _ = ML.fit_and_score(train, test, P.NUM_FEATURES, "logistic_regression")
-    path = os.path.join(checkpoint_dir(spark), "models", "suitability_lr")
-    model.write().overwrite().save(path)
-    model = PipelineModel.load(path)
+    m = matrix(spark, d)
+    path = os.path.join(checkpoint_dir(spark), f"models-{uuid.uuid4().hex}")
+    PipelineModel([fit_named("logistic_regression", m)]).write().save(f"{path}/classifier")
+    m.scaler.write().save(f"{path}/scaler")
+    m.svd.save(f"{path}/text")
+    model, scaler = PipelineModel.load(f"{path}/classifier"), PipelineModel.load(f"{path}/scaler")
+    svd = SVD.TextSvd.load(spark, f"{path}/text")
     from talentflow.plans.queries_match import _hybrid
     pairs = _hybrid(spark, d).select("doc_id", "item_id")
     docs = io.read_table(spark, d, "documents").select("doc_id", F.col("text").alias("resume_text"))
@@ -289,24 +379,27 @@ def batch_score(spark, d):
         TX.word_count("resume_text").cast("double").alias("resume_word_count"),
         F.lit(P.UPLOAD_COMPLETENESS).alias("resume_completeness_score"),
         F.size("js").cast("double").alias("required_skill_count"),
-        TX.word_count("jd_text").cast("double").alias("description_word_count"))
-    scored = model.transform(feats)
+        TX.word_count("jd_text").cast("double").alias("description_word_count"),
+        TX.concat_text("resume_text", "jd_text").alias("combined_text"))
+    scored = model.transform(ML.add_features(feats, scaler, svd, "combined_text"))
     return scored.select("doc_id", "item_id", ML.index_to_label("prediction").alias("suitability"),
                          ML.match_probability_score().alias("match_score"),
                          "matching_skills", "missing_skills")
 
 
-def _svd_split(spark, d):
-    train, test = _split(spark, d)
-    train, test = (x.withColumn("pair_id", F.struct("doc_id", "item_id")) for x in (train, test))
-    s_tr, s_te, k = ML.svd_text_features(train.select("pair_id", "combined_text"),
-                                         test.select("pair_id", "combined_text"),
-                                         "pair_id", "combined_text", unicode=False)
-    return train.join(s_tr, "pair_id", "left"), test.join(s_te, "pair_id", "left"), k
-
-
 @query("svd_features")
 def svd_features(spark, d):
     """M3: TF-IDF (fit on train) -> truncated SVD components of the combined pair text."""
-    tr, te, _ = _svd_split(spark, d)
-    return tr.select("doc_id", "item_id", "svd").unionByName(te.select("doc_id", "item_id", "svd"))
+    m = matrix(spark, d)
+    parts = _split(spark, d)
+    return reduce(DataFrame.unionByName, [SVD.transform(m.svd, x.select("doc_id", "item_id", "combined_text"), "combined_text")
+                                          .select("doc_id", "item_id", "svd") for x in parts])
+
+
+@query("svd_energy")
+def svd_energy(spark, d):
+    """M3: singular values of the training text, and the share of the squared weights kept."""
+    svd = matrix(spark, d).svd
+    total = sum(x * x for x in svd.singular) or 1.0
+    return spark.createDataFrame([(i, x, svd.energy * x * x / total) for i, x in enumerate(svd.singular)],
+                                 "component int, singular_value double, energy double")
