@@ -148,10 +148,10 @@ def bucket_counts(df: DataFrame, text_col: str, n_max: int, buckets: int) -> Dat
 def gains(raw: DataFrame, target: DataFrame, buckets: int) -> np.ndarray:
     """``floor(1000 ln((t + 1)(S + B) / ((s + 1)(T + B))))`` for each of the B buckets."""
     zero = F.lit(0).cast("long")
-    both = (raw.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+    both = materialise(raw.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
             .join(raw.withColumnRenamed("n", "s"), "bucket", "left")
             .join(target.withColumnRenamed("n", "t"), "bucket", "left")
-            .select("bucket", F.coalesce("s", zero).cast("double").alias("s"), F.coalesce("t", zero).cast("double").alias("t")))
+            .select("bucket", F.coalesce("s", zero).cast("double").alias("s"), F.coalesce("t", zero).cast("double").alias("t")), "bucket-counts")
     total = both.agg(F.sum("s").alias("of_raw"), F.sum("t").alias("of_target")).first()
     ratio = ((F.col("t") + 1) * F.lit(total.of_raw + buckets)
              / ((F.col("s") + 1) * F.lit(total.of_target + buckets)))
