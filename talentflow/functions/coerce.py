@@ -116,7 +116,8 @@ def kth_value(df: DataFrame, col: str, k: int, small: int = 10_000, buckets: int
 
     Each pass counts the values per equal range of the current interval (``buckets`` rows come
     to the driver) and goes on with the range that holds the rank, until it holds one value
-    or at most ``small`` rows.
+    or at most ``small`` rows. An interval whose length overflows is measured in halves; one too
+    short to be divided holds at most ``buckets`` different values, which are counted singly.
     """
     v = F.col(col).cast("double")
     rows = df.filter(_finite(v)).select(v.alias("v"))
@@ -126,8 +127,12 @@ def kth_value(df: DataFrame, col: str, k: int, small: int = 10_000, buckets: int
             return lo
         if n <= small:
             return sorted(r.v for r in rows.collect())[k]
-        width = (hi - lo) / buckets
-        part = F.least(F.floor((F.col("v") - lo) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+        half = 1.0 if abs(hi - lo) < float("inf") else 0.5
+        width = (hi * half - lo * half) / buckets
+        if width:
+            part = F.least(F.floor((F.col("v") * half - F.lit(lo * half)) / F.lit(width)), F.lit(buckets - 1)).cast("double")
+        else:
+            part = F.col("v")
         for b, c in sorted((r.b, r.c) for r in rows.groupBy(part.alias("b")).agg(F.count("*").alias("c")).collect()):
             if k < c:
                 rows = rows.filter(part == b)

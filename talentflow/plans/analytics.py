@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from talentflow.functions import text as TX
 from talentflow.plans import presets as P
+from talentflow.session import cut_lineage
 
 HIGH = ["Highly Suitable", "Perfect Match"]
 
@@ -201,21 +202,67 @@ def n15_suitability_funnel(matches: DataFrame, label: str = "suitability") -> Da
                   .orderBy(F.desc("total_matches"), F.asc(label)))
 
 
-def n16_shared_talent(matches: DataFrame, labels=tuple(HIGH), n: int = 10) -> DataFrame:
-    """Company pairs sharing highly suitable candidates.
+def n16_shared_talent(matches: DataFrame, labels=tuple(HIGH), n: int = 10, light: int = 64,
+                      seeds: int = 32) -> DataFrame:
+    """Company pairs sharing highly suitable candidates, the ``n`` best (ties by name).
 
-    The self-join runs on (candidate, company) pairs made distinct first, so a
-    candidate contributes one row per company instead of one per match.
+    A candidate of at most ``light`` companies contributes its pairs. Those of more companies
+    are bits: each company has a bitmap of them by word of 64, and two companies share as
+    many as the words they have in common have equal bits. Pairs of some leading companies give
+    the n-th best count; a pair can only reach it if its light count plus the smaller of both
+    bitmap counts does, so that only those pairs are formed from the bitmaps.
     """
-    cc = (matches.filter(F.col("suitability").isin(*labels))
-                 .select("candidate_id", "company_name").distinct())
-    a = cc.select("candidate_id", F.col("company_name").alias("company_a"))
-    b = cc.select("candidate_id", F.col("company_name").alias("company_b"))
-    pairs = a.join(b, "candidate_id").filter(F.col("company_a") < F.col("company_b"))
-    return (pairs.groupBy("company_a", "company_b")
-                 .agg(F.count_distinct("candidate_id").alias("shared_candidates"))
-                 .orderBy(F.desc("shared_candidates"), F.asc("company_a"), F.asc("company_b"))
-                 .limit(n))
+    cc = cut_lineage(matches.filter(F.col("suitability").isin(*labels))
+                     .select("candidate_id", "company_name").distinct())
+    sizes = cc.groupBy("candidate_id").agg(F.count("*").alias("size"))
+    some = cc.join(sizes.filter(F.col("size") <= light), "candidate_id")
+    a, b = (some.select("candidate_id", F.col("company_name").alias(c)) for c in ("company_a", "company_b"))
+    pairs = (a.join(b, "candidate_id").filter(F.col("company_a") < F.col("company_b"))
+              .groupBy("company_a", "company_b").agg(F.count("*").alias("light")))
+    best = [F.desc("shared_candidates"), F.asc("company_a"), F.asc("company_b")]
+    # candidate ids stay a join key of their own: number the heavy ones, then drop the ids
+    heavy = cut_lineage(sizes.filter(F.col("size") > light).select("candidate_id", F.monotonically_increasing_id().alias("at")))
+    if heavy.isEmpty():
+        return pairs.withColumnRenamed("light", "shared_candidates").orderBy(*best).limit(n)
+    pairs = cut_lineage(pairs)
+    bit = F.expr("shiftleft(1L, int(at & 63))")
+    words = cc.join(heavy, "candidate_id").groupBy("company_name", F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    count = words.groupBy("company_name").agg(F.sum(F.bit_count("bits")).alias("h"))
+    words = cut_lineage(words.join(count, "company_name"))
+    count = words.select("company_name", "h").distinct()
+
+    def side(x):
+        return words.select("word", *[F.col(c).alias(f"{d}_{x}") for c, d in (("company_name", "company"), ("bits", "bits"), ("h", "h"))])
+
+    def from_bits(keep):
+        """Pairs that share a heavy candidate and pass ``keep``, with their whole count."""
+        both = (side("a").join(side("b"), "word").filter((F.col("company_a") < F.col("company_b")) & keep)
+                .groupBy("company_a", "company_b").agg(F.sum(F.bit_count(F.expr("bits_a & bits_b"))).alias("heavy")).filter("heavy > 0"))
+        return both.join(pairs, ["company_a", "company_b"], "left").select(
+            "company_a", "company_b", (F.col("heavy") + F.coalesce("light", F.lit(0))).alias("shared_candidates"))
+
+    totals = cc.groupBy("company_name").agg(F.count("*").alias("d"))
+    lead = {r.company_name for order in ([F.desc("d"), F.asc("company_name")], [F.asc("company_name")])
+            for r in totals.filter(F.col("company_name").isNotNull()).orderBy(*order).limit(seeds).collect()}
+    known = F.col("company_a").isin(*lead) & F.col("company_b").isin(*lead)
+    leading = (from_bits(known).unionByName(pairs.filter(known).withColumnRenamed("light", "shared_candidates"))
+               .groupBy("company_a", "company_b").agg(F.max("shared_candidates").alias("shared_candidates"))
+               .orderBy(*best).limit(n).collect())
+    bar, name = (leading[-1].shared_candidates, leading[-1].company_a) if len(leading) == n else (0, None)
+
+    def may(bound):
+        return (bound > bar) | ((bound == bar) & (F.col("company_a") <= F.lit(name)))
+    # pairs with a light candidate in common, completed where the bitmaps can lift them to the bar
+    h = [count.select(F.col("company_name").alias(f"company_{x}"), F.col("h").alias(f"h_{x}")) for x in "ab"]
+    bounded = pairs.join(h[0], "company_a", "left").join(h[1], "company_b", "left").na.fill(0, ["h_a", "h_b"])
+    open_ = bounded.filter(may(F.col("light") + F.least("h_a", "h_b"))).select("company_a", "company_b", "light")
+    shared = (open_.join(side("a"), "company_a").join(side("b"), ["company_b", "word"])
+              .groupBy("company_a", "company_b").agg(F.sum(F.bit_count(F.expr("bits_a & bits_b"))).alias("heavy")))
+    lifted = open_.join(shared, ["company_a", "company_b"], "left").select(
+        "company_a", "company_b", (F.col("light") + F.coalesce("heavy", F.lit(0))).alias("shared_candidates"))
+    return (lifted.unionByName(from_bits(may(F.least("h_a", "h_b"))))
+            .groupBy("company_a", "company_b").agg(F.max("shared_candidates").alias("shared_candidates"))
+            .orderBy(*best).limit(n))
 
 
 def n17_text_match_by_completeness(jobs: DataFrame, matches: DataFrame) -> DataFrame:

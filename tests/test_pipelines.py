@@ -95,3 +95,22 @@ def test_exact_median_by_ranges(spark):
         assert B.median(df, "v") == want
         if values:
             assert B.kth_value(df, "v", len(values) // 2, small=4, buckets=8) == sorted(values)[len(values) // 2]
+
+
+def test_kth_value_over_extreme_ranges(spark):
+    from talentflow.functions import coerce as B
+    top = 1.7976931348623157e308
+    for values in ([-1e308, 0.0, 1e308] * 5, [0.0, 5e-324, 1e-323] * 5, [-top, top, 1.0, 2.0, 3.0, -5e-324, 0.0] * 3,
+                   [1e15 + i / 8 for i in range(9)] * 3):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        for k in (0, len(values) // 2):
+            assert B.kth_value(df, "v", k, small=2, buckets=64) == sorted(values)[k]
+
+
+def test_flag_duplicates_with_clashing_names(spark):
+    from talentflow.operators import dedup
+    df = spark.createDataFrame([("x", 1, 7, True), ("x", 2, 8, False), ("y", 3, 9, True)], "k string, o int, __at int, __FIRST boolean")
+    rows = dedup.flag_duplicates(df, ["k"], "o").orderBy("o").collect()
+    assert [(r["__at"], r["__FIRST"], r.is_duplicate) for r in rows] == [(7, True, False), (8, False, True), (9, True, False)]
+    again = df.withColumnRenamed("__at", "__dup")
+    assert dedup.dedup_exact(again, "k", "o").columns == again.columns and dedup.dedup_exact(again, "k", "o").count() == 2
