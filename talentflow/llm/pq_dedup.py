@@ -83,7 +83,10 @@ class Quantiser:
 
 
 def _units(rows) -> np.ndarray:
+    """Unit vectors. A power of two takes very small or large ones to a range where their
+    squares neither vanish nor overflow; for others it changes no digit."""
     x = np.asarray(rows, dtype=np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -66,3 +66,17 @@ def test_query_recall(spark, table):
     rows = Q.QUERIES["op9_pq_dedup"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == len(v) and sum(r.n_links for r in rows) >= 0.9 * sum(links.values())
     assert all(r.n_links <= links[r.vec_id] and r.kept == (r.vec_id == r.component_id) for r in rows)
+
+
+def test_tiny_and_huge_vectors(spark):
+    """Vectors whose squares vanish or overflow link by their direction and disturb no other."""
+    v = [(i, [float(x) for x in vec]) for i, vec in _groups(120)]
+    more = [(1000, [1e-200] * 16), (1001, [2e-200] * 15 + [1.9e-200]), (1002, [1e200] * 16), (1003, [5e-324] + [0.0] * 15),
+            (1004, [1.7e308] + [0.0] * 15)]
+    got = {r.id: (r.n_links, r.component_id) for r in P.near_vectors(spark.createDataFrame(v + more, "vec_id long, embedding array<double>")).collect()}
+    alone = {r.id: (r.n_links, r.component_id) for r in P.near_vectors(spark.createDataFrame(v, "vec_id long, embedding array<double>")).collect()}
+    links, _ = _brute(v)
+    assert sum(n for n, _ in alone.values()) >= 0.98 * sum(links.values())
+    assert sum(got[i][0] for i, _ in v) >= 0.98 * sum(links.values())
+    assert got[1000][0] >= 2 and {got[i][1] for i in (1000, 1001, 1002)} == {got[1000][1]}
+    assert got[1003][0] >= 1 and got[1003][1] == got[1004][1]
