@@ -160,13 +160,16 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def predict(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text",
-            keep: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` (columns ``keep``, or else ``id_col``) with ``lang_pred`` and ``score``.
+            keep: tuple[str, ...] = (), lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """``docs`` (columns ``keep``, or else ``id_col``) with ``lang_out`` and ``score_out``, which
+    must be none of the kept columns.
 
     ``und`` with score 0 for a null text, a text without any letter, or without a model.
     Every window of a text counts; repeated rows are judged each."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = list(keep) or [id_col]
+    if {lang_out.lower(), score_out.lower()} & {c.lower() for c in kept}:
+        raise ValueError(f"{lang_out} or {score_out} is a kept column already: name others")
     at = kept.index(text_col) if text_col in kept else len(kept)
 
     def run(batches):
@@ -191,8 +194,8 @@ def predict(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text
                         lang[i], score[i] = net.langs[best[i]], p[i, best[i]]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(j).slice(s.lo, s.rows) for j in range(len(kept))] +
-                    [pa.array(lang, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
+                    [pa.array(lang, pa.string()), pa.array(score)], names=[*kept, lang_out, score_out])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     rows = docs.select(*kept, *([F.col(text_col).alias("__text")] if at == len(kept) else []))
-    return map_arrow(rows, run, f"{fields}, lang_pred string, score double")
+    return map_arrow(rows, run, f"{fields}, `{lang_out}` string, `{score_out}` double")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from talentflow.llm import langid_cnn as L
 from talentflow.llm import queries as Q
@@ -62,3 +63,11 @@ def test_held_out_accuracy(spark, table):
     held = [r for r in rows if r.held_out]
     assert len(rows) == len(lang) and np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.97
     assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "hello there", 0.5, "x"), (2, None, 0.1, "y")], "doc_id long, text string, score double, Lang_pred string")
+    with pytest.raises(ValueError):
+        L.predict(df, None, keep=("doc_id", "score"))
+    rows = L.predict(df, None, keep=tuple(df.columns), lang_out="l", score_out="s").orderBy("doc_id").collect()
+    assert [(r.score, r.Lang_pred, r.l, r.s) for r in rows] == [(0.5, "x", "und", 0.0), (0.1, "y", "und", 0.0)]
