@@ -29,14 +29,24 @@ from pyspark.sql import functions as F
 
 from talentflow.llm import kernel as K
 from talentflow.llm import ngram_join
-from talentflow.llm.store import bitmap, map_arrow, marked, materialise
+from talentflow.llm.store import bitmap, drop_tables, map_arrow_frugal, marked, materialise
 
-DEPTH, SIMILARITY, MIN_DOCS, MIN_TOKENS = 4, 0.75, 3, 3
+DEPTH, SIMILARITY, MIN_DOCS, MIN_TOKENS, MIN_LETTERS = 4, 0.75, 3, 3, 20
 #: up to so many distinct dropped lines (8 bytes each) go to the tasks; beyond, texts are joined
 HELD_LINES = 1 << 21
 _FIELD = np.uint64(0x6A09E667F3BCC909)  # stands for a token that holds a digit
 
 
+def _letters(s: K.Slice, at: np.ndarray) -> np.ndarray:
+    """Characters of each line's tokens, those that hold a digit left out (they are a field)."""
+    low = K.LOWER[s.data]
+    w = K.find_words(low, s.offsets, K.NON_SPACE)
+    digit = np.concatenate(([0], np.cumsum((low >= 48) & (low <= 57))))
+    chars = np.concatenate(([0], np.cumsum((low & 0xC0) != 0x80)))
+    n = np.where(digit[w.ends] > digit[w.starts], 0, chars[w.ends] - chars[w.starts])
+    return np.add.reduceat(n, at) if len(at) else n[:0]
+
+
 def _lines(s: K.Slice, depth: int):
     """Lines with a token: row, number in the row, token count, leaf, line hash; the token
     hashes of all of them and where each line's begin."""
@@ -71,20 +81,22 @@ def _i64(x):
     return pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
 
 
-def scan_lines(rows: DataFrame, depth: int) -> DataFrame:
-    """``th, lines`` for rows ``(th, text)``."""
-    kinds = [("idx", pa.int32()), ("n", pa.int32()), ("leaf", pa.int64()), ("line", pa.int64())]
+def scan_lines(rows: DataFrame, depth: int, min_tokens: int = MIN_TOKENS, min_letters: int = MIN_LETTERS) -> DataFrame:
+    """``th, lines`` for rows ``(th, text)``; ``long`` marks lines of ``min_tokens`` tokens, or of
+    ``min_letters`` characters: a passage without blanks is one token."""
+    kinds = [("idx", pa.int32()), ("long", pa.bool_()), ("leaf", pa.int64()), ("line", pa.int64())]
 
     def run(batches):
         for b in batches:
             for s in K.slices(b.column(1)):
-                row, number, size, leaf, line, _, _ = _lines(s, depth)
-                items = pa.StructArray.from_arrays([pa.array(number, pa.int32()), pa.array(size, pa.int32()), _i64(leaf),
+                row, number, size, leaf, line, _, at = _lines(s, depth)
+                long = (size >= min_tokens) | (_letters(s, at) >= min_letters)
+                items = pa.StructArray.from_arrays([pa.array(number, pa.int32()), pa.array(long), _i64(leaf),
                                                     _i64(line)], fields=[pa.field(*k) for k in kinds])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.lo, s.rows),
                                                   pa.ListArray.from_arrays(_ragged(row, s.rows), items)], names=["th", "lines"])
 
-    return map_arrow(rows, run, "th long, lines array<struct<idx:int,n:int,leaf:long,line:long>>")
+    return map_arrow_frugal(rows, run, "th long, lines array<struct<idx:int,long:boolean,leaf:long,line:long>>")
 
 
 def scan_tokens(rows: DataFrame, words: np.ndarray, depth: int) -> DataFrame:
@@ -103,11 +115,11 @@ def scan_tokens(rows: DataFrame, words: np.ndarray, depth: int) -> DataFrame:
                     [_i64(leaf[ok]), _i64(line[ok]), pa.array(size[ok], pa.int32()),
                      pa.ListArray.from_arrays(pa.array(off, pa.int32()), _i64(h[take]))], names=["leaf", "line", "n", "tokens"])
 
-    return map_arrow(rows, run, "leaf long, line long, n int, tokens array<long>")
+    return map_arrow_frugal(rows, run, "leaf long, line long, n int, tokens array<long>")
 
 
-def _generalise(texts: DataFrame, lines: DataFrame, min_docs: int, similarity: float, depth: int) -> DataFrame:
-    """``leaf, line`` of the lines that belong to their leaf's template."""
+def _generalise(texts: DataFrame, lines: DataFrame, min_docs: int, similarity: float, depth: int):
+    """``leaf, line`` of the lines that belong to their leaf's template, and the tables it reads."""
     support = lines.select("leaf", "line", "th").distinct().groupBy("leaf", "line").agg(F.count("*").alias("d"))
     support = materialise(support, "line-support")
     leaves = (support.groupBy("leaf").agg(F.sum("d").alias("docs"), F.count("*").alias("variants"))
@@ -121,7 +133,7 @@ def _generalise(texts: DataFrame, lines: DataFrame, min_docs: int, similarity: f
     field = (votes.groupBy("leaf", "pos").agg(F.max(F.struct("v", "tok")).alias("top"), F.first("docs").alias("docs"))
              .filter(F.col("top.v") * 2 > F.col("docs")).select("leaf", "pos", F.col("top.tok").alias("tok")))
     return (each.join(field, ["leaf", "pos", "tok"]).groupBy("leaf", "line").agg(F.count("*").alias("same"), F.first("n").alias("n"))
-            .filter(F.col("same") >= F.lit(similarity) * F.col("n")).select("leaf", "line"))
+            .filter(F.col("same") >= F.lit(similarity) * F.col("n")).select("leaf", "line")), (support, leaves, tokens)
 
 
 def _copy_classes(texts: DataFrame, carriers: DataFrame) -> DataFrame:
@@ -134,30 +146,31 @@ def _copy_classes(texts: DataFrame, carriers: DataFrame) -> DataFrame:
             ok = marked(held.value, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             yield b.filter(pa.array(ok))
 
-    some = map_arrow(texts, run, "th long, t string")
+    some = map_arrow_frugal(texts, run, "th long, t string")
     judged = ngram_join.near_duplicates(some, "th", "t", among=carriers)
     return materialise(judged.select(F.col("doc").alias("th"), F.col("component_id").alias("root")).distinct(), "copy-classes")
 
 
 def _dropped(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS,
-                    similarity: float = SIMILARITY, depth: int = DEPTH) -> DataFrame:
+             min_letters: int = MIN_LETTERS, similarity: float = SIMILARITY, depth: int = DEPTH) -> DataFrame:
     """``th`` (hash of a text), ``idx`` (number of a line in it, from 0) and ``line`` for every
     line of a distinct text whose template recurs."""
     texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("t"))
     texts = texts.filter(F.length("t") > 0)
-    scanned = scan_lines(texts, depth)
+    scanned = scan_lines(texts, depth, min_tokens, min_letters)
     lines = materialise(scanned.select("th", F.explode("lines").alias("l")).select("th", "l.*").distinct(), "lines")
-    general = _generalise(texts, lines, min_docs, similarity, depth)
+    general, reads = _generalise(texts, lines, min_docs, similarity, depth)
     template = F.when(F.col("g").isNotNull(), F.col("leaf")).otherwise(F.col("line"))
     named = materialise(lines.join(general.withColumn("g", F.lit(1)), ["leaf", "line"], "left")
-                        .select("th", "idx", "n", "line", template.alias("template")), "named-lines")
+                        .filter("long").select("th", "idx", "line", template.alias("template")), "named-lines")
+    drop_tables(lines, *reads)
 
     def recurring(rows, carrier):
         return (rows.select("template", carrier).distinct().groupBy("template").agg(F.count("*").alias("c"))
                 .filter(F.col("c") >= min_docs).select("template"))
-    long = named.filter(F.col("n") >= min_tokens)
-    first = materialise(recurring(long, "th"), "recurring")
-    carried = materialise(long.join(first, "template", "left_semi"), "carried")
+    first = materialise(recurring(named, "th"), "recurring")
+    carried = materialise(named.join(first, "template", "left_semi"), "carried")
+    drop_tables(named, first)
     classes = _copy_classes(texts, carried.select("th").distinct())
     last = materialise(recurring(carried.join(classes, "th"), "root"), "templates")
     return carried.join(last, "template", "left_semi").select("th", "idx", "line")
@@ -169,7 +182,7 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", **params) -> DataFr
     return _dropped(docs, text_col, **params).groupBy("th").agg(F.array_sort(F.collect_list("idx")).alias("drop"))
 
 
-def _cut(docs: DataFrame, text_col: str, lines: np.ndarray, depth: int) -> DataFrame:
+def _cut(docs: DataFrame, text_col: str, lines: np.ndarray, depth: int, out_col: str) -> DataFrame:
     """Cut the given lines (sorted hashes) out of the texts on a scan."""
     held = docs.sparkSession.sparkContext.broadcast(lines)
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -190,28 +203,31 @@ def _cut(docs: DataFrame, text_col: str, lines: np.ndarray, depth: int) -> DataF
                     cut = set(number[lo:hi][hit[lo:hi]].tolist())
                     texts[r] = "\n".join(x for i, x in enumerate(texts[r].split("\n")) if i not in cut)
                 columns = [b.column(i).slice(s.lo, s.rows) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(many, pa.int32())], names=[*names, "__dropped"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(many, pa.int32())], names=[*names, "cut"])
 
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema))
-    return (map_arrow(docs.toDF(*names), run, kinds + ", __dropped int").withColumnsRenamed(dict(zip(names, docs.columns))))
+    return (map_arrow_frugal(docs.toDF(*names), run, kinds + ", cut int").toDF(*docs.columns, out_col))
 
 
-def drop_recurring_lines(docs: DataFrame, text_col: str = "text", **params) -> DataFrame:
-    """``docs`` with recurring lines cut out of ``text_col``, and ``__dropped`` (how many).
+def drop_recurring_lines(docs: DataFrame, text_col: str = "text", out_col: str = "__dropped", **params) -> DataFrame:
+    """``docs`` with recurring lines cut out of ``text_col``, and ``out_col`` (how many), which
+    must be no column of ``docs``.
 
     Lines end at ``\\n``; kept lines, their order and the other columns stay as they were.
-    Null and empty texts, blank lines and lines of fewer than ``min_tokens`` tokens are never
-    touched; repeated rows are changed alike. A text all of whose lines recur becomes empty.
+    Null and empty texts, blank lines and lines of fewer than ``min_tokens`` tokens and
+    ``min_letters`` characters are never touched; repeated rows are changed alike. A text all of whose lines recur becomes empty.
     """
+    if out_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"{out_col} is a column already: name another out_col")
     dropped = materialise(_dropped(docs, text_col, **params), "dropped-lines")
     lines = materialise(dropped.select("line").distinct(), "distinct-dropped-lines")
     if lines.count() <= HELD_LINES:  # whether a line goes depends on the line alone: no text is moved
         known = np.sort(lines.toPandas()["line"].to_numpy(np.int64).view(np.uint64))
-        return _cut(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, known, params.get("depth", DEPTH))
+        return _cut(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, known, params.get("depth", DEPTH), out_col)
     drops = dropped.groupBy("th").agg(F.array_sort(F.collect_list("idx")).alias("drop"))
     drops = materialise(drops, "drops").withColumnsRenamed({"th": "__th", "drop": "__drop"})
     kept = F.filter(F.split(F.col(text_col).cast("string"), "\n", -1), lambda x, i: ~F.array_contains("__drop", i))
     text = F.when(F.col("__drop").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(kept, "\n"))
     joined = docs.withColumn("__th", F.xxhash64(F.col(text_col).cast("string"))).join(drops, "__th", "left")
     return joined.select(*[(text.alias(c) if c == text_col else F.col(c)) for c in docs.columns],
-                         F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).alias("__dropped"))
+                         F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).alias(out_col))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from talentflow.llm import kernel as K
 from talentflow.llm.graph import components
-from talentflow.llm.store import bitmap, map_arrow, marked, materialise
+from talentflow.llm.store import bitmap, drop_tables, hand_back, map_arrow_frugal, marked, materialise
 from talentflow.session import ship_package
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -100,40 +100,43 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, run, f"doc {kind}, n long, cls binary, sig binary")
+    return map_arrow_frugal(rows, run, f"doc {kind}, n long, cls binary, sig binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """``cls, band, key``"""
+    """``c8, band, key``: 64 bits of a class's name stand for it until sets are joined. Two
+    classes of one number would only share their blocks."""
     width = 4 * ROWS
     keys = [F.xxhash64(F.lit(i), F.substring(F.col("sig"), width * i + 1, width)) for i in range(HASHES // ROWS)]
-    return classes.select("cls", F.posexplode(F.array(*keys)).alias("band", "key"))
+    return classes.select("c8", F.posexplode(F.array(*keys)).alias("band", "key"))
 
 
 def _blocks(classes: DataFrame) -> DataFrame:
-    """``lo, hi, cls``: the block pairs in which each class has to be, so that any two classes
+    """``lo, hi, c8, block``: the block pairs in which each class has to be, so that any two classes
     that share a band meet in exactly one of them (``lo`` and ``hi`` are their blocks).
 
     A class's lead is the smallest class that it shares a band with; classes of one lead lie in
     one block, or in several if they exceed ``BLOCK`` classes or ``BLOCK_RUNS`` runs. Classes
     that share no band with another are left out."""
-    crowded = (_bands(classes).groupBy("key").agg(F.count("*").alias("c"), F.min("cls").alias("first"))
+    crowded = (_bands(classes).groupBy("key").agg(F.count("*").alias("c"), F.min("c8").alias("first"))
                .filter("c > 1").select("key", "first"))
     crowded = materialise(crowded, "crowded-bands")
-    shared = materialise(_bands(classes).join(crowded, "key").select("key", "cls", "first"), "shared-bands")
-    lead = shared.groupBy("cls").agg(F.min("first").alias("lead")).join(classes.select("cls", "n"), "cls")
+    shared = materialise(_bands(classes).join(crowded, "key").select("key", "c8", "first"), "shared-bands")
+    lead = shared.groupBy("c8").agg(F.min("first").alias("lead")).join(classes.select("c8", "n"), "c8")
     lead = materialise(lead, "leads")
     sums = lead.agg(F.count("*").alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     few = int(max(1, sums.c // BLOCK, sums.n // BLOCK_RUNS))
     parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_RUNS)).cast("int")
     of_lead = lead.groupBy("lead").agg(parts.alias("parts"))
-    block = F.when(F.col("parts") > 1, F.xxhash64("lead", F.pmod(F.xxhash64("cls"), F.col("parts")))) \
+    block = F.when(F.col("parts") > 1, F.xxhash64("lead", F.pmod(F.xxhash64("c8"), F.col("parts")))) \
         .otherwise(F.pmod(F.xxhash64("lead"), F.lit(few)))
-    placed = materialise(shared.join(lead.join(of_lead, "lead").select("cls", block.alias("block")), "cls")
-                         .select("key", "cls", "block"), "placed")
+    placed = materialise(shared.join(lead.join(of_lead, "lead").select("c8", block.alias("block")), "c8")
+                         .select("key", "c8", "block"), "placed")
     of_key = placed.select("key", F.col("block").alias("other")).distinct()
-    pairs = placed.join(of_key, "key").select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cls", "block")
-    return materialise(pairs.distinct(), "block-members")
+    pairs = placed.join(of_key, "key").select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "c8", "block")
+    out = materialise(pairs.distinct(), "block-members")
+    drop_tables(crowded, shared, lead, placed)
+    return out
 
 
 def _pairs(t: pd.DataFrame, lo, hi, width: int, least: list[int], threshold: float):
@@ -174,9 +177,9 @@ def _join(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: in
     """Run every block pair. ``pairs``: the links ``a, b, jaccard`` between class ids; else, per
     class and block pair, ``rep, links`` (documents linked there) and ``root`` (the smallest id
     that these links reach)."""
-    classes = classes.filter("rep IS NOT NULL")
-    members = _blocks(classes.select("cls", "n", "sig"))
-    wanted = members.select("cls").distinct().join(classes, "cls")
+    classes = classes.filter("rep IS NOT NULL").withColumn("c8", F.xxhash64("cls"))
+    members = _blocks(classes.select("c8", "n", "sig"))
+    wanted = members.select("c8").distinct().join(classes, "c8")
     held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("rep").alias("h")), "h"))
 
     def build(batches):
@@ -190,13 +193,14 @@ def _join(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: in
                                                   pa.array([x.tobytes() for x in got], pa.binary())], names=["cls", "grams"])
 
     texts = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).cast("string").alias("t"))
-    sets = map_arrow(texts, build, "cls binary, grams binary").dropDuplicates(["cls"])  # rows may repeat an id
+    sets = map_arrow_frugal(texts, build, "cls binary, grams binary").dropDuplicates(["cls"])  # rows may repeat an id
     full = materialise(wanted.join(sets, "cls"), "class-sets")
-    rows = members.join(full, "cls").select("lo", "hi", "block", "rep", "copies", "n", "sig", "grams")
+    rows = members.join(full, "c8").select("lo", "hi", "block", "rep", "copies", "n", "sig", "grams")
     least, width = least_matches(threshold, tolerance), 4 * ROWS
     kind = classes.schema["rep"].dataType.simpleString()
 
     def run(key, t):
+        hand_back()  # of the group before
         t = t.sort_values("rep", ignore_index=True)
         rep, copies = t["rep"].to_numpy(), t["copies"].to_numpy()
         found = list(_pairs(t, key[0], key[1], width, least, threshold))
@@ -221,7 +225,9 @@ def _join(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: in
 
     ship_package(docs.sparkSession)
     schema = f"a {kind}, b {kind}, jaccard double" if pairs else f"rep {kind}, links long, root {kind}"
-    return rows.groupBy("lo", "hi").applyInPandas(run, schema)
+    out = rows.groupBy("lo", "hi").applyInPandas(run, schema)
+    out.reads = (members, full)
+    return out
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -232,7 +238,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, among: DataFra
     seen = materialise(seen, "sketches")
     classes = seen.filter("cls IS NOT NULL").groupBy("cls").agg(
         F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    return seen, materialise(classes, "classes")
+    classes = materialise(classes, "classes")
+    rows = materialise(seen.select("doc", "n", "cls"), "document-classes")
+    drop_tables(seen)  # the sketches go on with the classes
+    return rows, classes
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
@@ -247,7 +256,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     column take part.
     """
     seen, classes = _classes(docs, id_col, text_col, k, among)
-    seen_links = materialise(_join(docs, classes, id_col, text_col, k, threshold, tolerance, pairs=False), "links")
+    links = _join(docs, classes, id_col, text_col, k, threshold, tolerance, pairs=False)
+    seen_links = materialise(links, "links")
+    drop_tables(*links.reads)
     degree = seen_links.groupBy("rep").agg(F.sum("links").alias("linked"))
     roots = components(seen_links, "rep", "root").withColumnRenamed("node", "rep")
     info = (classes.select("cls", "rep", "copies").join(degree, "rep", "left").join(roots, "rep", "left")

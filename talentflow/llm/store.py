@@ -28,12 +28,49 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def map_arrow_frugal(df: DataFrame, run, schema: str) -> DataFrame:
+    """``map_arrow`` for stages of many scans: a task that ends hands its free memory back to
+    the system, so that workers kept for reuse do not hold what their largest batch took."""
+    def frugal(batches):
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+    return map_arrow(df, frugal, schema)
+
+
+def hand_back() -> None:
+    """Return freed memory of Arrow and of the C library to the system."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has (whatever its case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for t in tables:
+        drop(t.sparkSession, t.stored_at)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete one intermediate table."""
     fs, p = _fs(spark, path)

@@ -89,3 +89,16 @@ def test_query(spark, table):
         kept, was = r.text.split("\n"), iter(docs[r.doc_id].split("\n"))
         assert all(any(x == y for y in was) for x in kept) or not r.text       # a subsequence of the lines
         assert docs[r.doc_id].count("\n") - r.text.count("\n") in (r.n_dropped, r.n_dropped - 1)
+
+
+def test_lines_without_blanks_and_clashing_names(spark):
+    notice = "本サイトの文章の無断転載を固く禁じますのでご了承ください"
+    rows = [(i, f"{own}\n{notice}\n短い\n{i}234567890123456789012345", i) for i, own in enumerate(
+        ["春の海は静かで広い", "山の道を一人で歩いた朝", "新しい本を買って読む", "友達と話した夜の町", "雨の音だけが聞こえる", "古い家に猫が三匹いる"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __dropped int")
+    out = T.drop_recurring_lines(df, out_col="gone").orderBy("doc_id").collect()
+    assert [r.gone for r in out] == [1] * 6 and [r["__dropped"] for r in out] == list(range(6))
+    # the short line and the number, which is a field, stay
+    assert all(notice not in r.text and "短い" in r.text and r.text.endswith("012345") for r in out)
+    with pytest.raises(ValueError):
+        T.drop_recurring_lines(df)

@@ -46,8 +46,8 @@ def test_odd_rows(spark, table):
 
 
 def test_language_with_a_low_score_stays(spark, table, monkeypatch):
-    def predict(docs, model, keep):
-        return docs.select(*keep, F.when(F.col("doc_id") % 2 == 0, "und").otherwise("en").alias("lang_pred"), F.lit(0.3).alias("score"))
+    def predict(docs, model, keep, lang_out, score_out):
+        return docs.select(*keep, F.when(F.col("doc_id") % 2 == 0, "und").otherwise("en").alias(lang_out), F.lit(0.3).alias(score_out))
     monkeypatch.setattr(C.langid_cnn, "fit", lambda docs: None)
     monkeypatch.setattr(C.langid_cnn, "predict", predict)
     docs = table("documents")
