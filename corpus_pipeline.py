@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentflow.llm import decontaminate, langid_cnn, line_templates, ngram_join, sp_sampling
-from talentflow.llm.store import materialise
+from talentflow.llm.store import drop_tables, free_name, materialise
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -27,14 +27,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents to which the network, trained on their ``lang``, gives a language, however
     close a second one comes. Null texts and texts without a letter go."""
     model = langid_cnn.fit(docs)
-    seen = langid_cnn.predict(docs, model, keep=tuple(docs.columns))
-    return seen.filter(F.col("lang_pred") != langid_cnn.UNKNOWN).select(*docs.columns)
+    lang, score = free_name(docs, "__lang"), free_name(docs, "__score")
+    seen = langid_cnn.predict(docs, model, keep=tuple(docs.columns), lang_out=lang, score_out=score)
+    return seen.filter(F.col(lang) != langid_cnn.UNKNOWN).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without recurring lines; ``n_chars`` follows the text."""
-    cut = line_templates.drop_recurring_lines(docs)
-    n_chars = F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    gone = free_name(docs, "__dropped")
+    cut = line_templates.drop_recurring_lines(docs, out_col=gone)
+    n_chars = F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
@@ -68,6 +70,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            drop_tables(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
