@@ -37,24 +37,16 @@ HELD_LINES = 1 << 21
 _FIELD = np.uint64(0x6A09E667F3BCC909)  # stands for a token that holds a digit
 
 
-def _letters(s: K.Slice, at: np.ndarray) -> np.ndarray:
-    """Characters of each line's tokens, those that hold a digit left out (they are a field)."""
-    low = K.LOWER[s.data]
-    w = K.find_words(low, s.offsets, K.NON_SPACE)
-    digit = np.concatenate(([0], np.cumsum((low >= 48) & (low <= 57))))
-    chars = np.concatenate(([0], np.cumsum((low & 0xC0) != 0x80)))
-    n = np.where(digit[w.ends] > digit[w.starts], 0, chars[w.ends] - chars[w.starts])
-    return np.add.reduceat(n, at) if len(at) else n[:0]
-
-
-def _lines(s: K.Slice, depth: int):
+def _lines(s: K.Slice, depth: int, letters: list | None = None):
     """Lines with a token: row, number in the row, token count, leaf, line hash; the token
-    hashes of all of them and where each line's begin."""
+    hashes of all of them and where each line's begin. Into ``letters``: the characters of each
+    line's tokens, without those that hold a digit (they are a field)."""
     low = K.LOWER[s.data]
     w = K.find_words(low, s.offsets, K.NON_SPACE)
     h = K.hash_spans(low, w.starts, w.ends)
     digit = np.concatenate(([0], np.cumsum((low >= 48) & (low <= 57))))
-    h[digit[w.ends] > digit[w.starts]] = _FIELD
+    field = digit[w.ends] > digit[w.starts]
+    h[field] = _FIELD
     breaks = np.concatenate(([0], np.cumsum(s.data == 10)))
     number = breaks[w.starts] - breaks[s.offsets[w.row]] if len(w) else w.row
     new = np.ones(len(w), bool)
@@ -64,6 +56,13 @@ def _lines(s: K.Slice, depth: int):
     if not len(at):
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(np.uint64), z.astype(np.uint64), h, at
+    if letters is not None:
+        n = w.ends - w.starts
+        if low.max() >= 128:
+            later = np.concatenate(([0], np.cumsum((low & 0xC0) == 0x80)))
+            n = n - (later[w.ends] - later[w.starts])
+        n[field] = 0
+        letters.append(np.add.reduceat(n, at))
     place = np.arange(len(w)) - np.repeat(at, size)
     line = K.mix(np.add.reduceat(K.mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), at))
     leaf = size.astype(np.uint64)
@@ -89,8 +88,11 @@ def scan_lines(rows: DataFrame, depth: int, min_tokens: int = MIN_TOKENS, min_le
     def run(batches):
         for b in batches:
             for s in K.slices(b.column(1)):
-                row, number, size, leaf, line, _, at = _lines(s, depth)
-                long = (size >= min_tokens) | (_letters(s, at) >= min_letters)
+                letters: list = []
+                row, number, size, leaf, line, _, _ = _lines(s, depth, letters)
+                long = size >= min_tokens
+                if letters:
+                    long = long | (letters[0] >= min_letters)
                 items = pa.StructArray.from_arrays([pa.array(number, pa.int32()), pa.array(long), _i64(leaf),
                                                     _i64(line)], fields=[pa.field(*k) for k in kinds])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.lo, s.rows),
