@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentflow.llm import kernel as K
-from talentflow.llm.store import map_arrow
+from talentflow.llm.store import map_arrow_frugal
 
 ALPHA, BYTE_SCORE = 0.5, -14.0
 SLICE = 1 << 19
@@ -311,7 +311,7 @@ def encode(docs: DataFrame, model_path: str, key_col: str = "doc_id", text_col:
     rows = docs.select(F.xxhash64(F.col(key_col), F.lit(seed)), F.col(text_col).cast("string"),
                        *[F.col(c).alias(n) for c, n in zip(keep, names)])
     kinds = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(keep, names))
-    return map_arrow(rows, run, kinds + "ids array<int>").withColumnsRenamed(dict(zip(names, keep)))
+    return map_arrow_frugal(rows, run, kinds + "ids array<int>").withColumnsRenamed(dict(zip(names, keep)))
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -335,5 +335,5 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str
                 yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*names, "decoded"])
 
     kinds = "".join(f"{n} {rows.schema[c].dataType.simpleString()}, " for c, n in zip(rows.columns, names))
-    return (map_arrow(rows.toDF(*names), run, kinds + "decoded string")
+    return (map_arrow_frugal(rows.toDF(*names), run, kinds + "decoded string")
             .withColumnsRenamed(dict(zip([*names, "decoded"], [*rows.columns, out_col]))))
