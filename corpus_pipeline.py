@@ -52,7 +52,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_chars``, the sampled ``ids`` and the ``text`` they decode to."""
-    ids = sp_sampling.encode(docs, PIECE_MODEL, keep=("doc_id", "lang", "source", "n_chars"))
+    # written between the two, so that a task holds one Python worker at a time
+    ids = materialise(sp_sampling.encode(docs, PIECE_MODEL, keep=("doc_id", "lang", "source", "n_chars")), "piece-ids")
     return sp_sampling.decode(ids, PIECE_MODEL, out_col="text")
 
 
