@@ -114,29 +114,32 @@ def n09_top3_per_job(matches: DataFrame, n: int = 3) -> DataFrame:
 
 
 def rank_desc(df: DataFrame, part: str, value: str, tie: str, out: str = "__rank", total: str = "__n",
-              buckets: int = 1024) -> DataFrame:
-    """Exact rank (1 = largest ``value``, NULLs last, ties by ``tie``) inside ``part``, and the
-    number of its rows, without sorting a part in one task.
-
-    The part's value range is cut into equal buckets; a table of bucket counts (at most
-    ``buckets`` + 1 rows per part) gives each bucket's offset, and a window ranks the rows of
-    one bucket.
+              after: str | None = None) -> DataFrame:
+    """Exact rank (1 = largest ``value``, NULLs last, ties by ``tie``) inside ``part``, the number
+    of its rows and, in the column ``after`` if named, the value of the next rank.
+
+    Rows are dealt by sampled ranges of (part, value, tie), so that neither a large part nor a
+    value that most rows of a part share is sorted in one task; a table of row counts by part
+    and range gives each range's offset and the first value of the one behind it. The dealt
+    rows are written once, so that ranks and counts see the same ranges.
     """
-    v = F.col(value).cast("double")
-    span = df.groupBy(part).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
-    share = F.try_divide(F.col("__hi") - v, F.col("__hi") - F.col("__lo"))
-    bucket = F.when(v.isNull(), F.lit(buckets)).otherwise(
-        F.coalesce(F.least(F.floor(share * buckets), F.lit(buckets - 1)), F.lit(0)).cast("int"))
-    same = F.col(f"a.{part}").eqNullSafe(F.col(f"b.{part}"))
-    x = df.alias("a").join(span.alias("b"), same).select("a.*", bucket.alias("__b"))
+    from talentflow.session import cut_lineage
+    x = cut_lineage(df.repartitionByRange(F.col(part), F.desc_nulls_last(value), F.asc(tie))
+                      .withColumn("__b", F.spark_partition_id()))
     upto = Window.partitionBy(part).orderBy("__b")
-    counts = x.groupBy(part, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    counts = counts.select(part, "__b", F.coalesce(F.sum("__c").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
+    counts = x.groupBy(part, "__b").agg(F.count(F.lit(1)).alias("__c"), F.max(value).alias("__top"))
+    counts = counts.select(part, "__b", "__c", F.lead("__top").over(upto).alias("__behind"),
+                           F.coalesce(F.sum("__c").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
                            F.sum("__c").over(Window.partitionBy(part)).alias(total))
     inside = Window.partitionBy(part, "__b").orderBy(F.desc_nulls_last(value), F.asc(tie))
-    x = x.withColumn("__r", F.row_number().over(inside)).alias("a")
-    return (x.join(counts.alias("b"), same & (F.col("a.__b") == F.col("b.__b")))
-             .select("a.*", (F.col("__off") + F.col("__r")).alias(out), total).drop("__b", "__r"))
+    x = x.withColumn("__r", F.row_number().over(inside))
+    if after:
+        x = x.withColumn("__next", F.lead(value).over(inside))
+    keep = [F.col(f"a.{c}") for c in df.columns] + [(F.col("__off") + F.col("__r")).alias(out), F.col(total)]
+    if after:
+        keep.append(F.when(F.col("__r") < F.col("__c"), F.col("__next")).otherwise(F.col("__behind")).alias(after))
+    same = F.col(f"a.{part}").eqNullSafe(F.col(f"b.{part}")) & (F.col("a.__b") == F.col("b.__b"))
+    return x.alias("a").join(counts.alias("b"), same).select(*keep)
 
 
 def n10_salary_quartile(jobs: DataFrame, part: str = "company_industry", tiles: int = 4) -> DataFrame:
@@ -173,13 +176,12 @@ def n12_above_company_avg(jobs: DataFrame) -> DataFrame:
 
 def n13_score_gap(matches: DataFrame, max_rank: int = 2) -> DataFrame:
     """% gap between each match's score and the job's next best one, among top-``max_rank``
-    matches: ranks inside the job, then an equi-join of each rank with the next."""
+    matches."""
     t = rank_desc(matches.filter(F.col("match_rank") <= max_rank).select("job_id", "candidate_id", "final_match_score"),
-                  "job_id", "final_match_score", "candidate_id").drop("__n")
-    after = t.select("job_id", (F.col("__rank") - 1).alias("__rank"), F.col("final_match_score").alias("next_best_score"))
+                  "job_id", "final_match_score", "candidate_id", after="next_best_score")
     gap = F.round(F.try_divide(F.col("final_match_score") - F.col("next_best_score"),
                                F.col("next_best_score")) * 100.0, 2)
-    return (t.join(after.filter(F.col("next_best_score").isNotNull()), ["job_id", "__rank"])
+    return (t.filter(F.col("next_best_score").isNotNull())
              .select("job_id", F.col("candidate_id").alias("top_candidate"), "final_match_score",
                      "next_best_score", gap.alias("score_gap_pct")))
 

@@ -16,6 +16,7 @@ from talentflow.plans import presets as P
 from talentflow.plans.catalog import query
 from talentflow.plans.oracle_text import (block_pairs_sql, dict_sql, sql_str, tfidf_corpus_sql,
                                           topk_sql)
+from talentflow.session import cut_lineage
 from talentflow.sources import io
 
 # Word dictionary for the skill side of the hybrid score on invented prose
@@ -222,6 +223,18 @@ def semantic_dedup(spark, d):
     return DD.drop_duplicate_ids(exact, pairs, "doc_id").select("doc_id", "source")
 
 
+@query("lsh_links", f"""WITH {DISTINCT_SQL},
+{block_pairs_sql('dx', 'doc_id', 'text', 'source')}
+SELECT doc_id, count(*) AS n_links FROM (
+  SELECT doc_id FROM bpairs UNION ALL SELECT duplicate_id FROM bpairs) x GROUP BY doc_id""")
+def lsh_links(spark, d):
+    """J5 on the documents of J3; a pair at the threshold is missed with probability 1e-5."""
+    w = DD.block_weights(_distinct_docs(spark, d), "doc_id", "text", "source", "doc_id", unicode=False)
+    members, pairs = DD.lsh_classes(cut_lineage(w.select("source", "doc_id", "term", "w")), "doc_id",
+                                    recall=1 - 1e-5, block="source")
+    return DD.link_counts(members, pairs, "doc_id")
+
+
 @query("latest_snapshot", """SELECT event_id, ts, user_id, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS FIRST, event_id DESC) AS r
   FROM events WHERE user_id IS NOT NULL) x WHERE r = 1""")

@@ -8,6 +8,8 @@ so later reads get column pruning and predicate pushdown.
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -179,10 +181,49 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", txt.alias("text"))
 
 
-def embedding_cache(vectors: DataFrame, id_col: str, vec_col: str, path: str | None = None) -> DataFrame:
-    """One vector per distinct id, optionally persisted as Parquet."""
-    out = vectors.select(id_col, vec_col).dropDuplicates([id_col])
-    if path:
-        out.write.mode("overwrite").parquet(path)
-        out = vectors.sparkSession.read.parquet(path)
-    return out
+def _committed_batches(spark: SparkSession, path: str) -> list[str]:
+    """Folders below ``path`` whose write has ended."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    found = [f.getPath() for f in fs.listStatus(top) if f.isDirectory()]
+    return sorted(p.toString() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def embedding_cache(rows: DataFrame, id_col: str, vec_col: str, path: str | None = None,
+                    content_col: str | None = None,
+                    embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``(id, vector)``, one row per distinct id, vectors computed once and kept at ``path``.
+
+    A vector is kept under its id and the hash of its content (``content_col``, by default the
+    vector itself). Only rows whose id and content are not there yet go through ``embed`` (which
+    gets ``id, content`` and returns at least ``id`` and the vector; without it the content is the
+    vector) and are appended as a folder of their own; folders without a commit mark are not read,
+    so that a lost or concurrent run harms nothing. A changed content gets a new vector, an
+    unchanged table writes nothing. Of several contents of one id the smallest counts; rows
+    without an id are left out.
+    """
+    spark, content = rows.sparkSession, content_col or vec_col
+    one = (rows.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(content).alias(content)))
+    keyed = one.withColumn("__key", F.xxhash64(content))
+
+    def vectors(some: DataFrame) -> DataFrame:
+        if embed is None:
+            return some.select(id_col, F.col(content).alias(vec_col), "__key")
+        return embed(some.drop("__key")).select(id_col, vec_col).join(some.select(id_col, "__key"), id_col)
+    if not path:
+        return vectors(keyed).drop("__key")
+    held = _committed_batches(spark, path)
+    new = keyed
+    if held:
+        new = keyed.join(spark.read.parquet(*held).select(id_col, "__key"), [id_col, "__key"], "left_anti")
+    if not new.isEmpty():
+        batch = f"{path.rstrip('/')}/batch-{uuid.uuid4().hex}"
+        vectors(new).write.parquet(batch)
+        held.append(batch)
+    if not held:
+        return vectors(keyed).drop("__key")
+    kept = spark.read.parquet(*held).groupBy(id_col, "__key").agg(F.min(vec_col).alias(vec_col))
+    return kept.join(keyed.select(id_col, "__key"), [id_col, "__key"], "left_semi").drop("__key")
