@@ -14,8 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
-_SEGMENT = 1 << 20
+#: bytes of text, and of powers, that a processor's cache holds together with the arrays made of them
+SLICE_BYTES = 1 << 18
+_SEGMENT = 1 << 16
 _U = np.uint64
 MASK64 = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
@@ -117,7 +118,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Word
     after &= ~edge[1:]
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    row = np.searchsorted(offsets[1:], starts, side="right")
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
     return Words(starts, ends, row)
 
 
