@@ -15,7 +15,7 @@ other documents carry too. How much of a text recurs is of no matter.
 
 Scale: two scans of the texts; lines travel as hashes. A line's tokens leave the second scan
 only if its leaf may hold several lines that recur (a bitmap of fixed size, then an exact
-join). Carriers are picked by a bitmap on a further scan and sketched there. Everything else
+join), and from one text each. Carriers are picked by a bitmap on a further scan and sketched there. Everything else
 is partial aggregates and equi-joins on hashes; the last join brings the numbers of dropped
 lines back to the texts.
 """
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +35,15 @@ from talentflow.llm.store import bitmap, drop_tables, map_arrow_frugal, marked,
 DEPTH, SIMILARITY, MIN_DOCS, MIN_TOKENS, MIN_LETTERS = 4, 0.75, 3, 3, 20
 #: up to so many distinct dropped lines (8 bytes each) go to the tasks; beyond, texts are joined
 HELD_LINES = 1 << 21
+PART_BYTES = 1 << 20  # of texts that are cut and handed on together
 _FIELD = np.uint64(0x6A09E667F3BCC909)  # stands for a token that holds a digit
 
 
+def _word_of(w: K.Words, bytes_: np.ndarray) -> np.ndarray:
+    """The word that each marked byte, none of them white space, lies in."""
+    return np.searchsorted(w.starts, np.flatnonzero(bytes_), side="right") - 1
+
+
 def _lines(s: K.Slice, depth: int, letters: list | None = None):
     """Lines with a token: row, number in the row, token count, leaf, line hash; the token
     hashes of all of them and where each line's begin. Into ``letters``: the characters of each
@@ -44,23 +51,22 @@ def _lines(s: K.Slice, depth: int, letters: list | None = None):
     low = K.LOWER[s.data]
     w = K.find_words(low, s.offsets, K.NON_SPACE)
     h = K.hash_spans(low, w.starts, w.ends)
-    digit = np.concatenate(([0], np.cumsum((low >= 48) & (low <= 57))))
-    field = digit[w.ends] > digit[w.starts]
+    field = np.zeros(len(w), bool)
+    field[_word_of(w, low - np.uint8(48) < 10)] = True
     h[field] = _FIELD
-    breaks = np.concatenate(([0], np.cumsum(s.data == 10)))
-    number = breaks[w.starts] - breaks[s.offsets[w.row]] if len(w) else w.row
-    new = np.ones(len(w), bool)
-    new[1:] = (w.row[1:] != w.row[:-1]) | (number[1:] != number[:-1])
-    at = np.flatnonzero(new)
+    breaks = np.flatnonzero(low == 10)
+    at = np.unique(np.searchsorted(w.starts, np.concatenate((s.offsets[:-1], breaks))))
+    at = at[at < len(w)]
     size = np.diff(np.append(at, len(w)))
     if not len(at):
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(np.uint64), z.astype(np.uint64), h, at
+    row = w.row[at]
+    number = np.searchsorted(breaks, w.starts[at]) - np.searchsorted(breaks, s.offsets[row])
     if letters is not None:
         n = w.ends - w.starts
         if low.max() >= 128:
-            later = np.concatenate(([0], np.cumsum((low & 0xC0) == 0x80)))
-            n = n - (later[w.ends] - later[w.starts])
+            n = n - np.bincount(_word_of(w, (low & 0xC0) == 0x80), minlength=len(w))
         n[field] = 0
         letters.append(np.add.reduceat(n, at))
     place = np.arange(len(w)) - np.repeat(at, size)
@@ -69,7 +75,7 @@ def _lines(s: K.Slice, depth: int, letters: list | None = None):
     for j in range(depth):
         tok = np.where(size > j, h[np.minimum(at + j, len(h) - 1)], np.uint64(0))
         leaf = K.mix(leaf * np.uint64(0xD6E8FEB86659FD93) + tok)
-    return w.row[at], number[at], size, leaf, line, h, at
+    return row, number, size, leaf, line, h, at
 
 
 def _ragged(rows, n):
@@ -101,16 +107,22 @@ def scan_lines(rows: DataFrame, depth: int, min_tokens: int = MIN_TOKENS, min_le
     return map_arrow_frugal(rows, run, "th long, lines array<struct<idx:int,long:boolean,leaf:long,line:long>>")
 
 
-def scan_tokens(rows: DataFrame, words: np.ndarray, depth: int) -> DataFrame:
-    """``leaf, line, n, tokens`` of the lines whose leaf is marked in the bitmap ``words``."""
-    held = rows.sparkSession.sparkContext.broadcast(words)
+def _marked_rows(words: np.ndarray, hashes: pa.Array) -> np.ndarray:
+    return np.flatnonzero(marked(words, hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+
+
+def scan_tokens(rows: DataFrame, words: np.ndarray, holders: np.ndarray, depth: int) -> DataFrame:
+    """``leaf, line, n, tokens`` of the lines whose leaf is marked in the bitmap ``words``, from
+    rows ``(th, text)`` whose ``th`` is marked in ``holders``."""
+    held = rows.sparkSession.sparkContext.broadcast((words, holders))
 
     def run(batches):
+        leaves, texts = held.value
         for b in batches:
-            for s in K.slices(b.column(1)):
+            for s in K.slices(b.column(1).take(pa.array(_marked_rows(texts, b.column(0))))):
                 _, _, size, leaf, line, h, at = _lines(s, depth)
                 _, first = np.unique(line, return_index=True)
-                ok = first[marked(held.value, leaf[first])]
+                ok = first[marked(leaves, leaf[first])]
                 off = np.concatenate(([0], np.cumsum(size[ok])))
                 take = np.repeat(at[ok] - off[:-1], size[ok]) + np.arange(off[-1])
                 yield pa.RecordBatch.from_arrays(
@@ -122,12 +134,13 @@ def scan_tokens(rows: DataFrame, words: np.ndarray, depth: int) -> DataFrame:
 
 def _generalise(texts: DataFrame, lines: DataFrame, min_docs: int, similarity: float, depth: int):
     """``leaf, line`` of the lines that belong to their leaf's template, and the tables it reads."""
-    support = lines.select("leaf", "line", "th").distinct().groupBy("leaf", "line").agg(F.count("*").alias("d"))
+    support = lines.select("leaf", "line", "th").distinct().groupBy("leaf", "line").agg(F.count("*").alias("d"), F.min("th").alias("holder"))
     support = materialise(support, "line-support")
     leaves = (support.groupBy("leaf").agg(F.sum("d").alias("docs"), F.count("*").alias("variants"))
               .filter((F.col("variants") > 1) & (F.col("docs") >= min_docs)))
     leaves = materialise(leaves, "leaves")
-    tokens = (scan_tokens(texts, bitmap(leaves, "leaf"), depth).dropDuplicates(["leaf", "line"])
+    holders = bitmap(support.join(leaves, "leaf", "left_semi"), "holder")  # one text of each line is enough
+    tokens = (scan_tokens(texts, bitmap(leaves, "leaf"), holders, depth).dropDuplicates(["leaf", "line"])
               .join(support, ["leaf", "line"]).join(leaves.select("leaf", "docs"), "leaf"))
     tokens = materialise(tokens.select("leaf", "line", "n", "d", "docs", "tokens"), "leaf-tokens")
     each = tokens.select("leaf", "line", "n", "d", "docs", F.posexplode("tokens").alias("pos", "tok"))
@@ -145,8 +158,7 @@ def _copy_classes(texts: DataFrame, carriers: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ok = marked(held.value, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            yield b.filter(pa.array(ok))
+            yield b.take(pa.array(_marked_rows(held.value, b.column(0))))
 
     some = map_arrow_frugal(texts, run, "th long, t string")
     judged = ngram_join.near_duplicates(some, "th", "t", among=carriers)
@@ -184,31 +196,39 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", **params) -> DataFr
     return _dropped(docs, text_col, **params).groupBy("th").agg(F.array_sort(F.collect_list("idx")).alias("drop"))
 
 
-def _cut(docs: DataFrame, text_col: str, lines: np.ndarray, depth: int, out_col: str) -> DataFrame:
-    """Cut the given lines (sorted hashes) out of the texts on a scan."""
-    held = docs.sparkSession.sparkContext.broadcast(lines)
+def _cut(docs: DataFrame, text_col: str, lines: np.ndarray, carriers: np.ndarray, depth: int, out_col: str) -> DataFrame:
+    """Cut the given lines (sorted hashes) out of the texts on a scan; a text whose hash is not
+    marked in ``carriers`` has none of them."""
+    held = docs.sparkSession.sparkContext.broadcast((lines, carriers))
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text_col)
 
     def run(batches):
-        gone = held.value
+        gone, texts = held.value
         for b in batches:
-            for s in K.slices(b.column(at)):
-                row, number, _, _, line, _, _ = _lines(s, depth)
-                hit = np.zeros(len(line), bool)
-                if len(gone):
-                    hit = gone[np.minimum(np.searchsorted(gone, line), len(gone) - 1)] == line
-                texts = b.column(at).slice(s.lo, s.rows).to_pylist()
-                many = np.bincount(row[hit], minlength=s.rows)
-                for r in np.flatnonzero(many):
-                    lo, hi = np.searchsorted(row, [r, r + 1])
-                    cut = set(number[lo:hi][hit[lo:hi]].tolist())
-                    texts[r] = "\n".join(x for i, x in enumerate(texts[r].split("\n")) if i not in cut)
-                columns = [b.column(i).slice(s.lo, s.rows) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
+            for part in K.slices(b.column(at), PART_BYTES):
+                columns = [b.column(i).slice(part.lo, part.rows) for i in range(len(names))]
+                rows = _marked_rows(texts, b.column(len(names)).slice(part.lo, part.rows))
+                some, many, cut_texts = columns[at].take(pa.array(rows)), np.zeros(part.rows, np.int32), []
+                for s in K.slices(some):
+                    row, number, _, _, line, _, _ = _lines(s, depth)
+                    hit = np.zeros(len(line), bool)
+                    if len(gone):
+                        hit = gone[np.minimum(np.searchsorted(gone, line), len(gone) - 1)] == line
+                    of_row = np.bincount(row[hit], minlength=s.rows)
+                    many[rows[s.lo:s.hi]] = of_row
+                    for r in np.flatnonzero(of_row):
+                        lo, hi = np.searchsorted(row, [r, r + 1])
+                        cut = set(number[lo:hi][hit[lo:hi]].tolist())
+                        kept = [x for i, x in enumerate(some[s.lo + int(r)].as_py().split("\n")) if i not in cut]
+                        cut_texts.append("\n".join(kept))
+                if cut_texts:
+                    columns[at] = pc.replace_with_mask(columns[at], pa.array(many > 0), pa.array(cut_texts, columns[at].type))
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(many, pa.int32())], names=[*names, "cut"])
 
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema))
-    return (map_arrow_frugal(docs.toDF(*names), run, kinds + ", cut int").toDF(*docs.columns, out_col))
+    rows = docs.toDF(*names).select("*", F.xxhash64(f"c{at}").alias("th"))
+    return map_arrow_frugal(rows, run, kinds + ", cut int").toDF(*docs.columns, out_col)
 
 
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text", out_col: str = "__dropped", **params) -> DataFrame:
@@ -225,7 +245,8 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", out_col: str =
     lines = materialise(dropped.select("line").distinct(), "distinct-dropped-lines")
     if lines.count() <= HELD_LINES:  # whether a line goes depends on the line alone: no text is moved
         known = np.sort(lines.toPandas()["line"].to_numpy(np.int64).view(np.uint64))
-        return _cut(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, known, params.get("depth", DEPTH), out_col)
+        return _cut(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, known,
+                    bitmap(dropped, "th"), params.get("depth", DEPTH), out_col)
     drops = dropped.groupBy("th").agg(F.array_sort(F.collect_list("idx")).alias("drop"))
     drops = materialise(drops, "drops").withColumnsRenamed({"th": "__th", "drop": "__drop"})
     kept = F.filter(F.split(F.col(text_col).cast("string"), "\n", -1), lambda x, i: ~F.array_contains("__drop", i))
