@@ -23,6 +23,7 @@ lines back to the texts.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from talentflow.llm import kernel as K
 from talentflow.llm import ngram_join
 from talentflow.llm.store import bitmap, drop_tables, map_arrow_frugal, marked, materialise
+from talentflow.session import ship_package
 
 DEPTH, SIMILARITY, MIN_DOCS, MIN_TOKENS, MIN_LETTERS = 4, 0.75, 3, 3, 20
 #: up to so many distinct dropped lines (8 bytes each) go to the tasks; beyond, texts are joined
@@ -111,15 +113,26 @@ def _marked_rows(words: np.ndarray, hashes: pa.Array) -> np.ndarray:
     return np.flatnonzero(marked(words, hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
 
 
-def scan_tokens(rows: DataFrame, words: np.ndarray, holders: np.ndarray, depth: int) -> DataFrame:
-    """``leaf, line, n, tokens`` of the lines whose leaf is marked in the bitmap ``words``, from
-    rows ``(th, text)`` whose ``th`` is marked in ``holders``."""
-    held = rows.sparkSession.sparkContext.broadcast((words, holders))
+def _only(rows: DataFrame, words: np.ndarray) -> DataFrame:
+    """The rows whose ``th`` is marked in a bitmap; hashes alone go to Python for that."""
+    ship_package(rows.sparkSession)
+    held = rows.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def hit(th: pd.Series) -> pd.Series:
+        return pd.Series(marked(held.value, th.to_numpy(np.int64).view(np.uint64)))
+
+    return rows.filter(hit("th"))
+
+
+def scan_tokens(rows: DataFrame, words: np.ndarray, depth: int) -> DataFrame:
+    """``leaf, line, n, tokens`` of the lines whose leaf is marked in the bitmap ``words``."""
+    held = rows.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
-        leaves, texts = held.value
+        leaves = held.value
         for b in batches:
-            for s in K.slices(b.column(1).take(pa.array(_marked_rows(texts, b.column(0))))):
+            for s in K.slices(b.column(1)):
                 _, _, size, leaf, line, h, at = _lines(s, depth)
                 _, first = np.unique(line, return_index=True)
                 ok = first[marked(leaves, leaf[first])]
@@ -140,7 +153,7 @@ def _generalise(texts: DataFrame, lines: DataFrame, min_docs: int, similarity: f
               .filter((F.col("variants") > 1) & (F.col("docs") >= min_docs)))
     leaves = materialise(leaves, "leaves")
     holders = bitmap(support.join(leaves, "leaf", "left_semi"), "holder")  # one text of each line is enough
-    tokens = (scan_tokens(texts, bitmap(leaves, "leaf"), holders, depth).dropDuplicates(["leaf", "line"])
+    tokens = (scan_tokens(_only(texts, holders), bitmap(leaves, "leaf"), depth).dropDuplicates(["leaf", "line"])
               .join(support, ["leaf", "line"]).join(leaves.select("leaf", "docs"), "leaf"))
     tokens = materialise(tokens.select("leaf", "line", "n", "d", "docs", "tokens"), "leaf-tokens")
     each = tokens.select("leaf", "line", "n", "d", "docs", F.posexplode("tokens").alias("pos", "tok"))
@@ -154,13 +167,7 @@ def _generalise(texts: DataFrame, lines: DataFrame, min_docs: int, similarity: f
 def _copy_classes(texts: DataFrame, carriers: DataFrame) -> DataFrame:
     """``th, root`` for the texts in ``carriers``: near-duplicates among them have one root."""
     carriers = materialise(carriers, "carriers")
-    held = texts.sparkSession.sparkContext.broadcast(bitmap(carriers, "th"))
-
-    def run(batches):
-        for b in batches:
-            yield b.take(pa.array(_marked_rows(held.value, b.column(0))))
-
-    some = map_arrow_frugal(texts, run, "th long, t string")
+    some = _only(texts, bitmap(carriers, "th")).select("th", "t")
     judged = ngram_join.near_duplicates(some, "th", "t", among=carriers)
     return materialise(judged.select(F.col("doc").alias("th"), F.col("component_id").alias("root")).distinct(), "copy-classes")
 
