@@ -29,6 +29,7 @@ def _load_all() -> None:
     from talentflow.plans import queries_ops  # noqa: F401
     from talentflow.plans import queries_text  # noqa: F401
     from talentflow.plans import queries_match  # noqa: F401
+    from talentflow.plans import queries_feed  # noqa: F401
     from talentflow.plans import queries_ml  # noqa: F401
 
 

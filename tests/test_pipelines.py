@@ -45,12 +45,13 @@ def test_job_pipeline_small_fixture(spark):
         "jobs/salaries": S(spark, ["salary_id", "job_id"], [("1", "10"), ("2", None)]),
         "companies/companies": S(spark, ["company_id", "name", "description", "company_size", "city",
                                          "state", "country"],
-                                 [("1", "Acme", "We build <b>things</b>", "3", "Toronto", "ON", "CA")]),
+                                 [("1", "Acme", "We build <b>things</b>", "3", "Toronto", "ON", "CA"),
+                                  ("2", "Care", None, "1", "Seattle", "WA", "US")]),
         "companies/company_industries": S(spark, ["company_id", "industry"], [("1", "Software")]),
         "companies/company_specialities": S(spark, ["company_id", "speciality"], [("1", "AI")]),
         "companies/employee_counts": S(spark, ["company_id", "employee_count", "follower_count",
                                                "time_recorded"],
-                                       [("1", "10", "5", "1"), ("1", "20", "6", None)]),
+                                       [("1", "10", "5", "1"), ("1", "20", "6", None), ("2", "7", "1", "9"), ("2", "8", "2", "10")]),
         "mappings/skills": S(spark, ["skill_abr", "skill_name"], [("IT", "Information Technology"),
                                                                  ("HCPR", "Health Care Provider")]),
         "mappings/industries": S(spark, ["industry_id", "industry_name"], [("4", "Software"),
@@ -64,6 +65,8 @@ def test_job_pipeline_small_fixture(spark):
     assert jm[10].remote_allowed_bool is True and jm[12].remote_allowed_bool is False
     assert jm[12].normalized_salary_clean is None and jm[12].listed_time_dt is None
     assert jm[10].employee_count_latest == 20   # NULL time_recorded sorts last and wins
+    heads = {r.company_id: r.employee_count_latest for r in out["company_master"].collect()}
+    assert heads == {1: 20, 2: 8}               # recorded at 10, after 9: numbers, not text
     assert out["orphan_job_skills"].count() == 1 and out["orphan_salaries"].count() == 1
     ind = {r.job_id: r.industry_name for r in out["job_industries_resolved"].collect()}
     assert ind[12] == "unknown_industry_431"
