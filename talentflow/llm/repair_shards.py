@@ -198,6 +198,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, room: int, least: i
         held[slot], rank[slot] = pairs, np.arange(1, len(pairs) + 1)
         slot = _slot(key)
         at = np.flatnonzero((held[slot] == key) & ~last[:-1])
+        at = at[rank[slot[at]] > 0]  # an empty slot looks like the pair of two zeros
         prio = rank[slot[at]]
         # a place wins over its neighbours by rank; within a run of one pair every second does
         beside = at[1:] == at[:-1] + 1
