@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from talentflow.operators import matching as MT
+from talentflow.operators import tfidf as TF
 
 
 def test_suitability_tiers(spark):
@@ -47,3 +48,37 @@ def test_most_frequent_terms_by_histogram(spark):
     order = sorted(rows, key=lambda r: (-r[2], r[0]))
     for n in (1, 5, 8, 9, 50, 199, 200, 500):
         assert {r.term for r in TF.most_frequent(stats, n).collect()} == {r[0] for r in order[:n]}
+
+
+def test_nearest_over_several_groups_and_merged_ids(spark, monkeypatch):
+    """Groups, blocks and terms cut small give the pairs of the plain join; rows of one id (or
+    of none) are one document."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    left = [(i, " ".join(rng.choice(words, 12))) for i in range(40)] + [(3, "w1 w2 w2"), (None, "w4 w5"), (None, "w6"), (77, ""), (78, None)]
+    right = [(i, " ".join(rng.choice(words, 9))) for i in range(25)] + [(100, "w1 w2 w2"), (101, "w1 w2 w2")]
+    l, r = (spark.createDataFrame(x, f"{c} long, text string") for x, c in ((left, "a"), (right, "b")))
+    terms, (lw, rw), sizes = TF.fit_rows([(l, "a", "text"), (r, "b", "text")], min_df=2, max_df=1.0, unicode=False)
+    assert sizes == [43, 27]
+    for name, n in [("LEFT_GROUP", 7), ("RIGHT_GROUP", 5), ("LEFT_BLOCK", 3), ("RIGHT_TERMS", 10)]:
+        monkeypatch.setattr(MT, name, n)
+    got = {(x.a, x.text_rank): (x.b, round(x.text_similarity, 9)) for x in MT.cosine_topk(lw, rw, "a", "b", 4, n_left=43, n_right=27).collect()}
+    tf = [TF.term_counts(d, c, "text", unicode=False) for d, c in ((l, "a"), (r, "b"))]
+    both = tf[0].select(F.col("a").cast("string").alias("d"), "term", "tf").union(
+        tf[1].select(F.concat(F.lit("r"), "b"), "term", "tf"))
+    vocab = TF.fit_vocabulary(both, "d", 70, 2, 1.0)
+    assert {(t.term, t.df) for t in vocab.collect()} == {(t.term, t.df) for t in terms.collect()}
+    pairs = MT.cosine_pairs(TF.weigh(tf[0], vocab, "a"), TF.weigh(tf[1], vocab, "b"), "a", "b")
+    want = {(x.a, x.text_rank): (x.b, round(x.text_similarity, 9))
+            for x in MT.top_k(pairs, "a", [F.desc("text_similarity"), F.asc("b")], 4, "text_rank").collect()}
+    assert got == want and any(a is None for a, _ in got)
+
+
+def test_matching_sorts_no_terms(spark):
+    """Neither pairs nor (document, term) rows are aggregated in the plan of the top-k join."""
+    df = spark.createDataFrame([(1, "one two three"), (2, "two three four")], "a long, text string")
+    _, (lw, rw), sizes = TF.fit_rows([(df, "a", "text"), (df.withColumnRenamed("a", "b"), "b", "text")], min_df=1, max_df=1.0)
+    plan = MT.cosine_topk(lw, rw, "a", "b", 1, n_left=sizes[0], n_right=sizes[1])._jdf.queryExecution().executedPlan().toString()
+    assert "term" not in plan and "SortMergeJoin" not in plan and "FlatMapCoGroupsInArrow" in plan
