@@ -66,3 +66,14 @@ def test_query(spark, table):
         assert (r.n_words, r.n_hit, r.n_items) == (n, hit, len(items))
         assert r.items_sha256 == hashlib.sha256(",".join(items).encode()).hexdigest()
         assert r.contaminated == (hit > 0 and 20 * hit >= n)
+
+
+def test_dropping_shuffles_no_texts(spark):
+    """Only marked rows reach the join with the contaminated ids; a null id is an id too."""
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, text), (2, "all clean here"), (None, text), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(9, text)], "item_id long, text string")
+    out = D.drop_contaminated(docs, items)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(2, "all clean here"), (3, None)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and plan.count("ArrowEvalPython") >= 2
