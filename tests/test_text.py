@@ -81,3 +81,19 @@ def test_light_clean_html_matches_python(spark):
 def test_nlp_tokens_lowercases_first(spark):
     got = _one(spark, "Python <b>and</b> SQL at http://x.io", TX.nlp_clean("t"))
     assert got == "python sql"
+
+
+def test_unescape_holds_a_few_rows_at_a_time():
+    """A batch of large rows is never a batch of Python strings; slices and batches keep their rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+    rows = [f"<p>Caf&eacute; {i} ﬁne " + "x&amp;y " * 4000 if i % 3 else None for i in range(400)] + ["plain"]
+    batch, empty = pa.array(rows, pa.string()), pa.array([], pa.string())
+    tracemalloc.start()
+    out = list(TX.unescape_nfkc.func(iter([batch, empty, batch.slice(399)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < batch.nbytes / 2
+    want = [None if r is None else unicodedata.normalize("NFKC", html.unescape(r)) for r in rows]
+    assert [o.to_pylist() for o in out] == [want, [], want[399:]]
