@@ -71,3 +71,38 @@ def test_small_corpora(spark):
     few = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma")], "id long, text string")
     assert SVD.fit(few, "text", k=50, min_df=1, max_df=1.0).k == 2
     assert SVD.transform(SVD.fit(few, "text", min_df=1, max_df=1.0), few.limit(0), "text").count() == 0
+
+
+def test_joined_text_is_the_text_of_both(spark, monkeypatch):
+    """Texts that pairs share are cut once; terms, weights and components are those of the whole text."""
+    from pyspark.sql import functions as F
+
+    from talentflow.functions import text as TX
+    monkeypatch.setattr(tfidf, "LEFT_SLICE", 3)
+    left = spark.createDataFrame([(i, None if i == 3 else "" if i == 4 else t) for i, t in corpus(20)], "l long, lt string")
+    right = spark.createDataFrame([(0, "spark spark nurse"), (1, "sales Clinic, the audit"), (2, None), (3, "é"), (4, "kafka")], "r long, rt string")
+    pairs = spark.createDataFrame([(i, (i * j) % 7) for i in range(21) for j in range(3)], "l long, r long")  # some keys are nowhere
+    pairs = pairs.unionByName(pairs.filter("l = 5")).withColumn("y", F.lit(1)).repartition(3).cache()
+    joined = tfidf.JoinedText(left, "l", "lt", right, "r", "rt")
+    whole = pairs.join(left, "l", "left").join(right, "r", "left").withColumn("t", TX.concat_text("lt", "rt"))
+    for n in (1, 2):
+        a = SVD.fit(pairs, joined, k=4, min_df=2, max_df=1.0, unicode=False, rounds=6, ngram_max=n)
+        b = SVD.fit(whole, "t", k=4, min_df=2, max_df=1.0, unicode=False, rounds=6, ngram_max=n)
+        vocab = [[(r.idx, r.term, r.df, r.idf) for r in m.terms.orderBy("idx").collect()] for m in (a, b)]
+        assert vocab[0] == vocab[1] and len(vocab[0]) > 10
+        assert np.allclose(a.singular, b.singular, rtol=1e-9) and abs(a.energy - b.energy) < 1e-9
+        rows = [[(r.l, r.r, r.y, r.svd) for r in SVD.transform(a, x, t).orderBy("l", "r").collect()]
+                for x, t in ((pairs, joined), (whole, "t"))]
+        assert [x[:3] for x in rows[0]] == [x[:3] for x in rows[1]] and len(rows[0]) == 66
+        assert np.allclose([x[3] for x in rows[0]], [x[3] for x in rows[1]], atol=1e-12)
+
+
+def test_no_text_is_written_for_every_pair(spark):
+    """The feature table names the parts of a pair's text; it does not hold the text ten times."""
+    from talentflow.plans import queries_ml as Q
+    root = f"{checkpoint_dir(spark)}/pairs-{uuid.uuid4().hex}"
+    spark.createDataFrame(corpus(40), "doc_id long, text string").write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(f"b{i}", t) for i, t in corpus(12, 2)], "item_id string, text string").write.parquet(f"{root}/benchmark.parquet")
+    table, text = Q.feature_table(spark, root)
+    assert not {"combined_text", "resume_text", "job_text"} & set(table.columns)
+    assert table.select(text.left_key, text.right_key).dropna().count() == table.count() == 10 * text.left.count() == 400
