@@ -87,3 +87,19 @@ def test_lsh_shape():
     bits, bands = DD.lsh_shape(1000, 0.95, 0.99)
     assert bits == 10 and 10 <= bands <= 12
     assert DD.lsh_shape(0, 1.0, 0.99) == (4, 1) and DD.lsh_shape(10 ** 9, 0.95, 0.99)[0] == 30
+
+
+def test_orphans_are_told_without_a_sort(spark):
+    """Both splits stream the children past a hash of the keys; NULL keys are orphans, repeats count."""
+    from talentflow.operators import resolve as RS
+    child = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, "e")], "k long, v string")
+    parent = spark.createDataFrame([(1,), (1,), (3,), (None,)], "k long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept, orphans = RS.split_orphans(child, parent, "k")
+        for part, rows in ((kept, ["a", "b", "e"]), (orphans, ["c", "d"])):
+            assert sorted(r.v for r in part.collect()) == rows
+            plan = part._jdf.queryExecution().sparkPlan().toString()
+            assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
