@@ -82,3 +82,17 @@ def test_matching_sorts_no_terms(spark):
     _, (lw, rw), sizes = TF.fit_rows([(df, "a", "text"), (df.withColumnRenamed("a", "b"), "b", "text")], min_df=1, max_df=1.0)
     plan = MT.cosine_topk(lw, rw, "a", "b", 1, n_left=sizes[0], n_right=sizes[1])._jdf.queryExecution().executedPlan().toString()
     assert "term" not in plan and "SortMergeJoin" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_skill_gap_meets_the_matches_once(spark):
+    """Named jobs, best matches, both for one candidate, repeats and NULLs, from one join with the matches."""
+    m = spark.createDataFrame([(1, 10, 5.0), (1, 11, 9.0), (1, 11, 9.0), (2, 10, 3.0), (2, 12, 3.0), (3, None, 7.0), (3, 10, 1.0),
+                               (None, 10, 9.0), (5, 10, 2.0)], "candidate_id long, job_id long, final_match_score double")
+    m = m.selectExpr("*", "'t' job_title", "array('a') matching_skills", "array('b') missing_skills", "'x' suitability")
+    jobs = spark.createDataFrame([(10, ["s"]), (11, None)], "job_id long, required_skills array<string>")
+    req = spark.createDataFrame([(1, 11), (1, 11), (1, None), (2, None), (3, None), (None, 10), (4, 10), (5, 77)], "candidate_id long, job_id long")
+    got = MT.skill_gap(m, jobs, req)
+    rows = sorted((tuple(r) for r in got.select("candidate_id", "job_id", "match_score", "job_required_skills").collect()), key=str)
+    assert rows == [(1, 11, 9.0, [])] * 3 + [(2, 10, 3.0, ["s"]), (3, None, 7.0, [])]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("'t' AS job_title") + \
+        got._jdf.queryExecution().optimizedPlan().toString().count("t AS job_title") == 1
