@@ -107,3 +107,21 @@ def test_features_of_unseen_pairs(spark):
     out = {r.id: r.features.toArray() for r in ML.add_features(new, scaler, svd, "t").collect()}
     assert len(out[1]) == svd.k + 1 and abs(out[1][0]) < 0.2  # 3 is the middle of 0 to 6
     assert np.abs(out[1][1:]).sum() > 0 and not out[2][1:].any()
+
+
+def test_features_are_joined_without_a_first_row(spark, monkeypatch):
+    """The text components' number is known: the assembler computes no row to look for it."""
+    from pyspark.ml import Pipeline
+
+    from talentflow.operators import svd as SVD
+    df = spark.createDataFrame([(1, 2.0), (2, 4.0)], "id long, a double")
+    scaler = Pipeline(stages=ML.feature_pipeline(["a"], ["svd_vec"])).fit(df)
+    for bad in (True, False):
+        def transform(model, docs, text_col, out_col):
+            x = F.raise_error(F.lit("computed")).cast("double") if bad else F.lit(0.5)
+            return docs.withColumn(out_col, F.array(x, F.col("a")))
+        monkeypatch.setattr(SVD, "transform", transform)
+        out = ML.add_features(df, scaler, SVD.TextSvd(None, [2.0, 1.0], 1.0), "t")
+    assert sorted(r.features.toArray().round(4).tolist() for r in out.collect()) == [[-0.7071, 0.5, 2.0], [0.7071, 0.5, 4.0]]
+    monkeypatch.setattr(SVD, "transform", lambda model, docs, text_col, out_col: docs.withColumn(out_col, F.array().cast("array<double>")))
+    assert [len(r.features) for r in ML.add_features(df, scaler, SVD.TextSvd(None, [], 0.0), "t").collect()] == [1, 1]

@@ -97,6 +97,31 @@ def test_joined_text_is_the_text_of_both(spark, monkeypatch):
         assert np.allclose([x[3] for x in rows[0]], [x[3] for x in rows[1]], atol=1e-12)
 
 
+def test_weights_of_a_shared_text_are_one_row(spark):
+    """Ten documents of a left text repeat neither its terms nor its products; scales make each of length 1."""
+    left = spark.createDataFrame(corpus(6), "l long, lt string")
+    right = spark.createDataFrame([(j, f"spark nurse word{j} word{j}") for j in range(10)], "r long, rt string")
+    pairs = left.crossJoin(right).select("l", "r", (left.l * 10 + right.r).alias("id"))
+    joined = tfidf.JoinedText(left, "l", "lt", right, "r", "rt")
+    terms, (rows,), (n,) = tfidf.fit_rows([(pairs, "id", joined)], 1, 1, 1.0, 100, unicode=False, unique=True)
+    rows = rows.collect()
+    assert n == 60 and len(rows) == 6 and sorted(i for r in rows for i in r.id) == list(range(60))
+    names = {r.idx: r.term for r in terms.collect()}
+    text, job = dict(corpus(6)), {j: f"spark nurse word{j} word{j}" for j in range(10)}
+    idf = {r.term: r.idf for r in terms.collect()}
+    for r in rows:
+        ends = np.append(0, np.cumsum(r.n))
+        assert len(r.more_idx) == ends[-1] == 30
+        for i, a, b, scale in zip(r.id, ends, ends[1:], r.scale):
+            got = {names[t]: w for t, w in zip(r.idx, r.w)}
+            for t, w in zip(r.more_idx[a:b], r.more_w[a:b]):
+                got[names[t]] = got.get(names[t], 0.0) + w
+            words = (text[i // 10] + " " + job[i % 10]).split()
+            want = {t: (1 + np.log(words.count(t))) * idf[t] for t in set(words)}
+            size = np.sqrt(sum(w * w for w in want.values()))
+            assert {t: round(w * scale, 12) for t, w in got.items()} == {t: round(w / size, 12) for t, w in want.items()}
+
+
 def test_no_text_is_written_for_every_pair(spark):
     """The feature table names the parts of a pair's text; it does not hold the text ten times."""
     from talentflow.plans import queries_ml as Q
