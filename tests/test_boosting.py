@@ -74,3 +74,20 @@ def test_kept_scores_change_nothing(spark, data, monkeypatch):
     assert len(a.trees) == len(b.trees) == 5
     for s, t in zip(a.trees, b.trees):
         assert (s.feature == t.feature).all() and (s.cut == t.cut).all() and np.allclose(s.value, t.value)
+
+
+def test_places_are_those_of_a_walk():
+    """Whole features are compared at once; each row ends where a walk from the root does."""
+    rng = np.random.default_rng(2)
+    for depth in (1, 4, 9):
+        n = (1 << depth) - 1
+        tree = B.Tree(rng.integers(-1, 6, n), rng.integers(0, 7, n), rng.normal(size=(n + 1, 3)))
+        bins = rng.integers(0, 9, (6, 300)).astype(np.uint8)
+        got = tree.places(bins, depth)
+        for i in range(300):
+            at = 0
+            for _ in range(depth):
+                f = tree.feature[at]
+                at = 2 * at + 1 + int(f >= 0 and bins[f, i] > tree.cut[at])
+            assert got[i] == at - n
+        assert np.array_equal(tree.scores(bins), tree.value[got])
