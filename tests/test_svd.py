@@ -131,3 +131,16 @@ def test_no_text_is_written_for_every_pair(spark):
     table, text = Q.feature_table(spark, root)
     assert not {"combined_text", "resume_text", "job_text"} & set(table.columns)
     assert table.select(text.left_key, text.right_key).dropna().count() == table.count() == 10 * text.left.count() == 400
+
+
+def test_components_of_pairs_are_not_joined(spark):
+    """A pair's columns travel with its texts: nothing is shuffled once its components are there."""
+    left, right = (spark.createDataFrame(corpus(n, s), f"{c} long, {c}t string") for n, s, c in ((30, 1, "l"), (9, 2, "r")))
+    joined = tfidf.JoinedText(left, "l", "lt", right, "r", "rt")
+    pairs = left.crossJoin(right).selectExpr("l", "r", "l * 0.5D y", "array(cast(l as string)) a")
+    model = SVD.fit(pairs, joined, k=3, min_df=2, max_df=1.0, unicode=False)
+    out = SVD.transform(model, pairs, joined)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Join" not in plan[:plan.index("MapInArrow")]
+    assert out.columns == ["l", "r", "y", "a", "svd"] and out.count() == 270
+    assert all(r.y == r.l * 0.5 and r.a == [str(r.l)] and len(r.svd) == 3 for r in out.collect())
