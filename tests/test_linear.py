@@ -73,3 +73,4 @@ def test_net_counts_rows_instead_of_copying_them(spark, data):
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
     valid = ML.log_loss(model.transform(data.filter("fold = 0")))
     assert any(abs(h["valid_loss"] - valid) < 1e-9 and h["best"] for h in history)
+    assert all(type(h[c]) is float for h in history for c in ("train_loss", "valid_loss"))  # as a table of them takes
