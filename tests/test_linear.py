@@ -68,6 +68,7 @@ def test_net_counts_rows_instead_of_copying_them(spark, data):
     for i in range(0, len(w), 5):
         up, down = (NET.slope(x, y, c, NET.matrices(layers, w + s * 1e-6 * (np.arange(len(w)) == i)))[0] for s in (1, -1))
         assert abs((up - down) / 2e-6 - grad[i]) < 1e-4
+    data.count()  # its own cache is there
     before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
     model, history = ML.fit_mlp(data.filter("fold > 0"), data.filter("fold = 0"), hidden=(4,), step=3, max_iter=6)
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
